@@ -1,0 +1,62 @@
+"""The registered queries of this subpackage; each runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import read_table
+from .bpe_encode import encode_corpus
+from .site_lines import repeated_lines, without_repeated_lines
+from .splitting import split_all
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_all(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "code_snippets"))
+    return pieces.where("piece_no = 0 and n_pieces > 1").select("item_kind", "item_id")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_all(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "code_snippets"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "line_no")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(read_table(spark, sf_dir, "documents"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(read_table(spark, sf_dir, "documents"))
+
+
+def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = [p2_found, p2_pieces, p4_found, p4_cleaned, p7_ids]
+    return {f.__name__: f for f in found}
+
+
+LINES_SQL = r"""
+with l as (
+  select doc_id, crawl_job_id as j, cast(i - 1 as int) as line_no,
+         trim(regexp_replace(lower(string_split(markdown_content, chr(10))[i]), '[^\p{L}]+', ' ', 'g')) as n
+  from (select doc_id, crawl_job_id, markdown_content, unnest(range(1, len(string_split(markdown_content, chr(10))) + 1)) as i
+        from documents where crawl_job_id is not null and markdown_content is not null)
+), c as (
+  select j, n, count(distinct doc_id) as pages from l where length(replace(n, ' ', '')) >= 20 group by j, n
+), s as (select crawl_job_id as j, count(*) as total from documents where crawl_job_id is not null group by 1)
+select l.doc_id, l.line_no from l join c using (j, n) join s using (j)
+where c.pages >= 5 and c.pages >= 0.15 * s.total
+"""
+
+
+def llm_oracle_sql() -> dict[str, str]:
+    return {
+        "p2_found": """
+            select 'document' as item_kind, doc_id as item_id from documents where length(markdown_content) > 8000
+            union all select 'snippet', id from code_snippets where length(code_content) > 2000""",
+        "p4_found": LINES_SQL,
+    }

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import hash_tokens, runs
-from .sets import SIMILARITY_TENTHS, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
+from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
 
 RUN = 4
 MIN_TOKENS = 25
@@ -124,7 +124,7 @@ def class_pairs(prints: DataFrame, tenths: int = SIMILARITY_TENTHS) -> DataFrame
     posts = prefix_postings(prints, sketch_of(prints), ["key"], tenths, once_per="key")
     posts = posts.repartition("h").dropDuplicates(["h", "key"])  # one exchange serves both this and the count
     shards = posts.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where("m > 1")
-    sketches = prints.groupBy("key").agg(F.first("sketch").alias("sketch"))
+    sketches = prints.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first(F.size("grams")).alias("n"))
     tasks = shards.join(sketches, "key")
     # block x of a large shard meets every block y: the lower fills the tree, the higher asks
     blocks = F.ceil(F.col("m") / SHARD_BLOCK).cast("int")
@@ -155,8 +155,8 @@ def class_pairs(prints: DataFrame, tenths: int = SIMILARITY_TENTHS) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key_a", "key_b"])
 
     candidates = materialize(tasks.mapInArrow(trees, "key_a long, key_b long").distinct(), "code-candidates")
-    named = candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    sets = prints.select("key", "grams").join(named, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+    named = materialize(candidates.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct(), "code-named")
+    sets = keep_keys(prints.select("key", "grams"), named).join(named, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
     a = sets.select(F.col("key").alias("key_a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("key").alias("key_b"), F.col("grams").alias("gb"))
     return candidates.join(a, "key_a").join(b, "key_b").where(sizes_allow(F.size("ga"), F.size("gb"), tenths) & similar("ga", "gb", tenths)).select("key_a", "key_b")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
+from .batch_dedup import new_batch_duplicates
 from .bpe_encode import encode_corpus
 from .code_neardup import near_duplicate_groups, near_duplicate_pairs
 from .eval_leak import leaks
+from .main_content import main_bodies, outside_lines
 from .site_lines import repeated_lines, without_repeated_lines
 from .splitting import split_all
 
@@ -24,6 +26,10 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_all(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "code_snippets"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return new_batch_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "line_no")
 
@@ -32,6 +38,14 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(read_table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outside_lines(read_table(spark, sf_dir, "documents"))
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_bodies(read_table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(read_table(spark, sf_dir, "code_snippets"))
 
@@ -49,7 +63,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_pieces, p4_found, p4_cleaned, p6_found, p6_groups, p7_ids, p8_found]
+    found = [p2_found, p2_pieces, p3_found, p4_found, p4_cleaned, p5_found, p5_bodies, p6_found, p6_groups, p7_ids, p8_found]
     return {f.__name__: f for f in found}
 
 

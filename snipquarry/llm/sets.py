@@ -48,7 +48,7 @@ def sketch_of(df: DataFrame, grams: str = "grams") -> np.ndarray:
 
 
 def prefix_postings(df: DataFrame, sketch: np.ndarray, carry: list[str], tenths: int = SIMILARITY_TENTHS, once_per: str | None = None) -> DataFrame:
-    """(h, n, *carry): the rarest-first prefix of every row's ``grams``; n is the set's size.
+    """(h, *carry): the rarest-first prefix of every row's ``grams``.
 
     ``carry`` names long columns to repeat. With ``once_per``, rows of a partition with equal values
     there give postings once, so that copies of one text are pre-aggregated before any shuffle.
@@ -56,7 +56,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, carry: list[str], tenths:
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(sketch)  # 4 bytes x 2**SKETCH_BITS, whatever the data
     shift = np.uint32(32 - SKETCH_BITS)
-    schema = pa.schema([("h", pa.int32()), ("n", pa.int32()), *((c, pa.int64()) for c in carry)])
+    schema = pa.schema([("h", pa.int32()), *((c, pa.int64()) for c in carry)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -75,12 +75,12 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, carry: list[str], tenths:
             take = rank < np.repeat(sizes - (sizes * tenths + 9) // 10 + 1, sizes)
             picked = order[take]
             rows = row[picked]
-            columns = [pa.array(values[picked], pa.int32()), pa.array(sizes[rows].astype(np.int32), pa.int32())]
+            columns = [pa.array(values[picked], pa.int32())]
             columns += [b.column(c).take(pa.array(rows)) for c in carry]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     cols = [F.col("grams"), *(F.col(c).cast("long") for c in carry)] + ([F.col(once_per).alias("_once")] if once_per else [])
-    return df.where(F.size("grams") > 0).select(*cols).mapInArrow(run, "h int, n int" + "".join(f", {c} long" for c in carry))
+    return df.where(F.size("grams") > 0).select(*cols).mapInArrow(run, "h int" + "".join(f", {c} long" for c in carry))
 
 
 def sizes_allow(a: Column, b: Column, tenths: int = SIMILARITY_TENTHS) -> Column:
@@ -92,3 +92,42 @@ def similar(a: str, b: str, tenths: int = SIMILARITY_TENTHS) -> Column:
     """Exact Jaccard test of two gram arrays, in whole numbers, inside the JVM."""
     both = F.size(F.array_intersect(a, b))
     return both * 10 >= (F.size(a) + F.size(b) - both) * tenths
+
+
+#: A key filter has at most 2**25 bits, 4 MiB; with more keys than that it lets more rows pass, never fewer.
+FILTER_BITS = 25
+_FILTER_BLOCK = 15
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys`` (all that are, and some others), without a shuffle of ``df``.
+
+    A bit set of bounded size goes to the executors; an exact join must follow. ``keys`` must be
+    materialised and evenly spread 64-bit hashes.
+    """
+    spark = df.sparkSession
+    bits = max(_FILTER_BLOCK + 3, min(FILTER_BITS, int(keys.count() * 16).bit_length()))
+    slot = F.shiftrightunsigned(F.col(key), 64 - bits)
+    schema = "block long, bits binary"
+
+    def pack(k, pdf):
+        import pandas as pd
+
+        b = np.zeros(1 << _FILTER_BLOCK, dtype=np.uint8)
+        b[pdf["slot"].to_numpy() & ((1 << _FILTER_BLOCK) - 1)] = 1
+        return pd.DataFrame({"block": [k[0]], "bits": [np.packbits(b).tobytes()]})
+
+    slots = keys.select(slot.alias("slot")).distinct().withColumn("block", F.shiftright("slot", _FILTER_BLOCK))
+    table = np.zeros((1 << (bits - _FILTER_BLOCK), 1 << (_FILTER_BLOCK - 3)), dtype=np.uint8)
+    for r in slots.groupBy("block").applyInPandas(pack, schema).collect():
+        table[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(table.reshape(-1))
+    at = df.columns.index(key)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(at).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            hit = shared.value[(k >> np.uint64(3)).astype(np.int64)] >> (7 - (k & np.uint64(7))).astype(np.uint8) & 1
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(run, df.schema)

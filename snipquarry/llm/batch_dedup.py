@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from .common import hash_tokens, runs, words
-from .sets import SIMILARITY_TENTHS, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
+from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
 
 RUN = 5
 MIN_WORDS = 50
@@ -119,6 +119,8 @@ class History:
         self.name = "history_" + uuid.uuid4().hex
         self.order: np.ndarray | None = None
         self._known: set[str] = set()
+        self.sets: DataFrame | None = None
+        self._asked: list[DataFrame] = []
 
     def _append(self, table: str, df: DataFrame, by: str) -> None:
         name = f"{self.name}_{table}"
@@ -132,55 +134,71 @@ class History:
     def _table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
-    def add(self, pages: DataFrame, check: bool = True) -> DataFrame | None:
-        """(doc_id, reason) of the pages that bring nothing new against what was added before or stands
-        earlier in the batch; ``pages`` are materialised rows of ``page_hashes`` with one batch number."""
+    def add(self, pages: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame] | None:
+        """Append one batch and hold it against what was added before or stands earlier in it.
+
+        ``pages`` are materialised rows of ``page_hashes`` with one batch number. Gives the full copies
+        (doc_id) and the pairs of text keys (mine, key) that share a mark and may be alike; ``alike``
+        settles the latter, for one batch or for several at once.
+        """
         if self.order is None:  # any fixed order is right; rarity in the first batch makes it fast
             self.order = sketch_of(pages.where(F.col("grams").isNotNull()))
         first = not self._known
         # exact keys: a batch's copies are counted before they meet the history, so no key is hot
         keys = pages.select("doc_id", F.explode("exact").alias("k")).unionByName(pages.where("key is not null").select("doc_id", F.col("key").alias("k")))
-        firsts = materialize(keys.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")), "firsts")
+        firsts = keys.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
         if first:
-            new, old = firsts, firsts.limit(0)
+            held = firsts.withColumn("old", F.lit(False))
         else:
-            new = firsts.join(self._table("keys"), "k", "left_anti")
-            old = firsts.join(self._table("keys"), "k", "left_semi")
-        old = materialize(old.select("k", F.lit(None).cast("long").alias("first")).unionByName(new.where("m > 1").select("k", "first")), "known")
-        self._append("keys", new.select("k"), "k")
-        # known keys: held before (first is null), or more than once in this batch
-        copies = materialize(keys.join(old, "k").where("first is null or doc_id > first").select("doc_id", "k"), "copies")
+            held = firsts.join(self._table("keys").withColumn("old", F.lit(True)), "k", "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        held = materialize(held, "firsts")
+        self._append("keys", held.where("not old").select("k"), "k")
+        # known keys: held before, or more than once in this batch
+        known = held.where("old or m > 1")
+        copies = materialize(keys.join(known, "k").where("old or doc_id > first").select("doc_id", "k"), "copies")
         # only the first page of each text goes on: whatever is like a copy is like the original, which came earlier
         reps = pages.where("key is not null").join(copies.select("doc_id", F.col("k").alias("key")), ["doc_id", "key"], "left_anti")
         reps = materialize(reps.select("doc_id", "batch_no", "key", "n", "grams", "paras"), "reps")
+        self.sets = reps if self.sets is None else self.sets.unionByName(reps)
         posts = prefix_postings(reps, self.order, ["key"], self.tenths)
         posts = posts.unionByName(reps.select(F.explode("paras").alias("p"), "key").select((F.xxhash64("p") % 2147483647).cast("int").alias("h"), "key"))
         place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
-        ranked = materialize(posts.distinct().repartition(self.buckets, "h").withColumn("r", place), "posts")
+        ranked = materialize(posts.repartition(self.buckets, "h").withColumn("r", place), "posts")
         self._append("posts", ranked.where(F.col("r") <= FIRST_HOLDERS).select("h", "key"), "h")
-        self._append("more", ranked.where(F.col("r") > FIRST_HOLDERS).select("h", "key"), "h")
-        self._append("sets", reps.select("key", "doc_id", "batch_no", "n", "grams"), "key")
+        more = ranked.where(F.col("r") > FIRST_HOLDERS).select("h", "key")
+        if not more.isEmpty():
+            self._append("more", more, "h")
         if not check:
             return None
         left = reps.join(copies.select("doc_id"), "doc_id", "left_anti").select("key")
-        near = self._near(ranked, left, "posts")
-        rest = left.join(near, "key", "left_anti")
+        mine = ranked.select("h", F.col("key").alias("mine")).join(left.withColumnRenamed("key", "mine"), "mine", "left_semi")
+        self._asked.append(mine)
+        return copies.select("doc_id"), self._pairs(mine, "posts")
+
+    def _pairs(self, mine: DataFrame, table: str) -> DataFrame:
+        """Pairs of texts that share a mark; only the asking side is shuffled."""
+        return materialize(mine.hint("shuffle_hash").join(self._table(table), "h").where("mine <> key").select("mine", "key").distinct(), "pairs")
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """(doc_id) of the pages alike to an earlier page, among pairs that ``add`` gave."""
+        near = self._settle(pairs)
+        if "more" not in self._known:
+            return near.select("doc_id")
+        # marks with many holders: what is still open is compared with all the others, too
         near = materialize(near, "near")
-        further = self._near(ranked, rest, "more")
-        near = near.unionByName(further)
-        alike = reps.select("doc_id", "key").join(near, "key", "left_semi").select("doc_id", F.lit("near").alias("reason"))
-        return copies.select("doc_id", F.lit("copy").alias("reason")).unionByName(alike).distinct()
-
-    def _near(self, ranked: DataFrame, keys: DataFrame, table: str) -> DataFrame:
-        """Those of ``keys`` that are alike to an earlier page among the holders in ``table``."""
-        mine = ranked.join(keys, "key", "left_semi").select("h", F.col("key").alias("mine"))
-        pairs = mine.hint("shuffle_hash").join(self._table(table), "h").where("mine <> key").select("mine", "key").distinct()
-        pairs = materialize(pairs, "pairs")
-        sets = self._table("sets")
-        theirs = pairs.hint("shuffle_hash").join(sets, "key").select("mine", F.col("batch_no").alias("tb"), F.col("doc_id").alias("ti"), F.col("n").alias("tn"), F.col("grams").alias("tg"))
-        own = sets.select(F.col("key").alias("mine"), "batch_no", "doc_id", "n", "grams")
-        both = theirs.join(own, "mine").where(sizes_allow(F.col("n"), F.col("tn"), self.tenths) & (F.struct("tb", "ti") < F.struct("batch_no", "doc_id")))
-        return both.where(similar("grams", "tg", self.tenths)).select(F.col("mine").alias("key")).distinct()
+        rest = None
+        for mine in self._asked:
+            rest = mine if rest is None else rest.unionByName(mine)
+        rest = rest.join(near.select(F.col("key").alias("mine")), "mine", "left_anti")
+        return near.select("doc_id").unionByName(self._settle(self._pairs(rest, "more")).select("doc_id")).distinct()
+
+    def _settle(self, pairs: DataFrame) -> DataFrame:
+        named = materialize(pairs.select(F.explode(F.array("mine", "key")).alias("key")).distinct(), "named")
+        sets = self.sets.select("key", "doc_id", "batch_no", "n", "grams")
+        sets = materialize(keep_keys(sets, named).join(named, "key", "left_semi"), "sets")
+        theirs = pairs.join(sets, "key").select("mine", F.col("batch_no").alias("tb"), F.col("doc_id").alias("ti"), F.col("n").alias("tn"), F.col("grams").alias("tg"))
+        both = theirs.join(sets.withColumnRenamed("key", "mine"), "mine").where(sizes_allow(F.col("n"), F.col("tn"), self.tenths) & (F.struct("tb", "ti") < F.struct("batch_no", "doc_id")))
+        return both.where(similar("grams", "tg", self.tenths)).select("doc_id", F.col("mine").alias("key")).distinct()
 
 
 def new_batch_duplicates(df: DataFrame, history_batch: int = 0, **columns: str) -> DataFrame:
@@ -197,9 +215,12 @@ def new_batch_duplicates(df: DataFrame, history_batch: int = 0, **columns: str)
     pages = spark.read.schema(_PAGE_DDL).parquet(path)
     batches = sorted(r["batch_no"] for r in pages.select("batch_no").distinct().collect())  # one row per batch
     history = History(spark)
-    found = spark.createDataFrame([], "doc_id long, reason string")
+    copies = spark.createDataFrame([], "doc_id long")
+    pairs = spark.createDataFrame([], "mine long, key long")
     for b in batches:
         got = history.add(pages.where(F.col("batch_no") == b), check=b > history_batch)
         if got is not None:
-            found = found.unionByName(materialize(got, "found"))
-    return found
+            copies, pairs = copies.unionByName(got[0]), pairs.unionByName(got[1])
+    if not batches or batches[-1] <= history_batch:
+        return copies.select("doc_id", F.lit("copy").alias("reason"))
+    return copies.select("doc_id", F.lit("copy").alias("reason")).unionByName(history.alike(pairs).select("doc_id", F.lit("near").alias("reason"))).distinct()

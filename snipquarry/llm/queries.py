@@ -12,9 +12,16 @@ from .batch_dedup import new_batch_duplicates
 from .bpe_encode import encode_corpus
 from .code_neardup import near_duplicate_groups, near_duplicate_pairs
 from .eval_leak import leaks
+from .keyword_spam import judged as spam_judged
+from .keyword_spam import spam_pages
 from .main_content import main_bodies, outside_lines
 from .site_lines import repeated_lines, without_repeated_lines
 from .splitting import split_all
+from .template_residue import residue_pages
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_pages(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +69,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(read_table(spark, sf_dir, "documents"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_judged(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_pieces, p3_found, p4_found, p4_cleaned, p5_found, p5_bodies, p6_found, p6_groups, p7_ids, p8_found]
+    found = [p1_found, p2_found, p2_pieces, p3_found, p4_found, p4_cleaned, p5_found, p5_bodies, p6_found, p6_groups, p7_ids, p8_found, p9_found, p9_scores]
     return {f.__name__: f for f in found}
 
 

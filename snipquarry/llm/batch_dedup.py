@@ -70,9 +70,17 @@ def _h(s: str) -> int:
 
 
 _PAGE = pa.schema(
-    [("doc_id", pa.int64()), ("batch_no", pa.int32()), ("exact", pa.list_(pa.field("element", pa.int64()))), ("key", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.field("element", pa.int32()))), ("paras", pa.list_(pa.field("element", pa.int64())))]
+    [("doc_id", pa.int64()), ("batch_no", pa.int32()), ("exact", pa.list_(pa.field("element", pa.int64()))), ("key", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.field("element", pa.int32()))), ("paras", pa.list_(pa.field("element", pa.int64()))), ("sketch", pa.list_(pa.field("element", pa.int64())))]
 )
-_PAGE_DDL = "doc_id long, batch_no int, exact array<bigint>, key long, n int, grams array<int>, paras array<bigint>"
+_PAGE_DDL = "doc_id long, batch_no int, exact array<bigint>, key long, n int, grams array<int>, paras array<bigint>, sketch array<bigint>"
+#: Bits of a page's parity sketch; see ``parity``.
+BITS = 1024
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Each run flips one of BITS bits: two sketches never differ in more bits than the sets in elements."""
+    bits = np.bincount((grams.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 10), minlength=BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url: str = "url", content_hash: str = "content_hash", text: str = "text") -> DataFrame:
@@ -81,7 +89,7 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            exact, keys, sizes, grams, paras = [], [], [], [], []
+            exact, keys, sizes, grams, paras, sketches = [], [], [], [], [], []
             for u, c, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 own = []
                 if (a := address(u)) is not None:
@@ -95,15 +103,17 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
                     sizes.append(None)
                     grams.append(None)
                     paras.append([])
+                    sketches.append(None)
                     continue
                 hashes = [hash_tokens(w) for w in parts]
                 g = to_grams(runs(np.concatenate(hashes), RUN))
                 keys.append(set_key(g))
                 sizes.append(len(g))
+                sketches.append(parity(g))
                 grams.append(g)
                 paras.append(list({int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64)) for x in hashes if len(x) >= RUN}))
             columns = [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32())]
-            columns += [pa.array(x, type=f.type) for x, f in zip((exact, keys, sizes, grams, paras), list(_PAGE)[2:], strict=True)]
+            columns += [pa.array(x, type=f.type) for x, f in zip((exact, keys, sizes, grams, paras, sketches), list(_PAGE)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=_PAGE)
 
     rows = df.select(F.col(doc), F.coalesce(F.col(batch), F.lit(0)), F.col(url), F.col(content_hash), F.col(text))
@@ -111,7 +121,12 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
 
 
 class History:
-    """The bucketed hash tables of all accepted pages. ``add`` checks a batch against them and appends it."""
+    """The bucketed hash tables of all accepted pages.
+
+    ``keys`` holds every exact key once. ``posts`` holds marks (h) of texts by key, with the batch that
+    brought them and the text's place among the mark's holders in that batch; both are bucketed by what
+    they are joined on, so appending shuffles the batch only and joining shuffles nothing of the history.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, tenths: int = SIMILARITY_TENTHS):
         self.spark, self.tenths = spark, tenths
@@ -119,86 +134,83 @@ class History:
         self.name = "history_" + uuid.uuid4().hex
         self.order: np.ndarray | None = None
         self._known: set[str] = set()
-        self.sets: DataFrame | None = None
-        self._asked: list[DataFrame] = []
+        self._asked: list[tuple[int, DataFrame]] = []
 
     def _append(self, table: str, df: DataFrame, by: str) -> None:
-        name = f"{self.name}_{table}"
-        # one task per bucket, so that an append adds one file to each
-        out = df.repartition(self.buckets, by).write.format("parquet").option("compression", "zstd").mode("append").bucketBy(self.buckets, by)
+        """``df`` is partitioned by ``by`` into one task per bucket, so that an append adds one file to each."""
+        out = df.write.format("parquet").option("compression", "zstd").mode("append").bucketBy(self.buckets, by)
         if table not in self._known:
             out = out.option("path", scratch_path(self.spark, table))
-        out.saveAsTable(name)
+        out.saveAsTable(f"{self.name}_{table}")
         self._known.add(table)
 
     def _table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
-    def add(self, pages: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame] | None:
+    def add(self, pages: DataFrame, batch: int, check: bool = True) -> tuple[DataFrame, DataFrame] | None:
         """Append one batch and hold it against what was added before or stands earlier in it.
 
-        ``pages`` are materialised rows of ``page_hashes`` with one batch number. Gives the full copies
-        (doc_id) and the pairs of text keys (mine, key) that share a mark and may be alike; ``alike``
-        settles the latter, for one batch or for several at once.
+        ``pages`` are materialised rows of ``page_hashes``. Gives the full copies (doc_id) and the pairs of
+        text keys (mine, key) that share a mark; ``alike`` settles the latter, for one batch or for several.
         """
         if self.order is None:  # any fixed order is right; rarity in the first batch makes it fast
             self.order = sketch_of(pages.where(F.col("grams").isNotNull()))
-        first = not self._known
         # exact keys: a batch's copies are counted before they meet the history, so no key is hot
         keys = pages.select("doc_id", F.explode("exact").alias("k")).unionByName(pages.where("key is not null").select("doc_id", F.col("key").alias("k")))
         firsts = keys.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
-        if first:
-            held = firsts.withColumn("old", F.lit(False))
-        else:
+        if self._known:
             held = firsts.join(self._table("keys").withColumn("old", F.lit(True)), "k", "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        else:
+            held = firsts.withColumn("old", F.lit(False))
         held = materialize(held, "firsts")
-        self._append("keys", held.where("not old").select("k"), "k")
-        # known keys: held before, or more than once in this batch
-        known = held.where("old or m > 1")
-        copies = materialize(keys.join(known, "k").where("old or doc_id > first").select("doc_id", "k"), "copies")
-        # only the first page of each text goes on: whatever is like a copy is like the original, which came earlier
-        reps = pages.where("key is not null").join(copies.select("doc_id", F.col("k").alias("key")), ["doc_id", "key"], "left_anti")
-        reps = materialize(reps.select("doc_id", "batch_no", "key", "n", "grams", "paras"), "reps")
-        self.sets = reps if self.sets is None else self.sets.unionByName(reps)
-        posts = prefix_postings(reps, self.order, ["key"], self.tenths)
-        posts = posts.unionByName(reps.select(F.explode("paras").alias("p"), "key").select((F.xxhash64("p") % 2147483647).cast("int").alias("h"), "key"))
+        self._append("keys", held.where("not old").select("k").repartition(self.buckets, "k"), "k")
+        # marks: copies of a text within a task are posted once; a mark's repeats end after the exchange
+        posts = prefix_postings(pages.select("grams", "key").where("key is not null"), self.order, ["key"], self.tenths, once_per="key")
+        posts = posts.unionByName(pages.select(F.explode("paras").alias("p"), "key").select((F.xxhash64("p") % 2147483647).cast("int").alias("h"), "key"))
         place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
-        ranked = materialize(posts.repartition(self.buckets, "h").withColumn("r", place), "posts")
-        self._append("posts", ranked.where(F.col("r") <= FIRST_HOLDERS).select("h", "key"), "h")
-        more = ranked.where(F.col("r") > FIRST_HOLDERS).select("h", "key")
-        if not more.isEmpty():
-            self._append("more", more, "h")
+        posts = posts.repartition(self.buckets, "h").dropDuplicates(["h", "key"]).withColumn("r", place)
+        self._append("posts", posts.withColumn("b", F.lit(batch)), "h")
         if not check:
             return None
-        left = reps.join(copies.select("doc_id"), "doc_id", "left_anti").select("key")
-        mine = ranked.select("h", F.col("key").alias("mine")).join(left.withColumnRenamed("key", "mine"), "mine", "left_semi")
-        self._asked.append(mine)
-        return copies.select("doc_id"), self._pairs(mine, "posts")
-
-    def _pairs(self, mine: DataFrame, table: str) -> DataFrame:
-        """Pairs of texts that share a mark; only the asking side is shuffled."""
-        return materialize(mine.hint("shuffle_hash").join(self._table(table), "h").where("mine <> key").select("mine", "key").distinct(), "pairs")
-
-    def alike(self, pairs: DataFrame) -> DataFrame:
-        """(doc_id) of the pages alike to an earlier page, among pairs that ``add`` gave."""
-        near = self._settle(pairs)
-        if "more" not in self._known:
-            return near.select("doc_id")
+        # known keys: held before, or more than once in this batch; whatever is like a copy is like the original
+        copies = materialize(keys.join(held.where("old or m > 1"), "k").where("old or doc_id > first").select("doc_id").distinct(), "copies")
+        open_ = pages.where("key is not null").select("doc_id", F.col("key").alias("mine")).join(copies, "doc_id", "left_anti").select("mine")
+        self._asked.append((batch, open_))
+        return copies, self._pairs(batch, open_, F.col("r") <= FIRST_HOLDERS)
+
+    def _pairs(self, batch: int, open_: DataFrame, holders) -> DataFrame:
+        """Pairs of an open text and a holder of one of its marks; the table meets itself bucket by bucket."""
+        mine = self._table("posts").where(F.col("b") == batch).select("h", F.col("key").alias("mine")).join(open_, "mine", "left_semi")
+        theirs = self._table("posts").where((F.col("b") <= batch) & holders).select("h", "key")
+        return materialize(mine.join(theirs, "h").where("mine <> key").select("mine", "key").distinct(), "pairs")
+
+    def alike(self, pairs: DataFrame, pages: DataFrame) -> DataFrame:
+        """(doc_id) of the pages alike to an earlier page, among pairs that ``add`` gave; ``pages`` are all so far."""
+        near = self._settle(pairs, pages)
         # marks with many holders: what is still open is compared with all the others, too
+        if self._table("posts").where(F.col("r") > FIRST_HOLDERS).isEmpty():
+            return near.select("doc_id")
         near = materialize(near, "near")
-        rest = None
-        for mine in self._asked:
-            rest = mine if rest is None else rest.unionByName(mine)
-        rest = rest.join(near.select(F.col("key").alias("mine")), "mine", "left_anti")
-        return near.select("doc_id").unionByName(self._settle(self._pairs(rest, "more")).select("doc_id")).distinct()
-
-    def _settle(self, pairs: DataFrame) -> DataFrame:
-        named = materialize(pairs.select(F.explode(F.array("mine", "key")).alias("key")).distinct(), "named")
-        sets = self.sets.select("key", "doc_id", "batch_no", "n", "grams")
-        sets = materialize(keep_keys(sets, named).join(named, "key", "left_semi"), "sets")
-        theirs = pairs.join(sets, "key").select("mine", F.col("batch_no").alias("tb"), F.col("doc_id").alias("ti"), F.col("n").alias("tn"), F.col("grams").alias("tg"))
-        both = theirs.join(sets.withColumnRenamed("key", "mine"), "mine").where(sizes_allow(F.col("n"), F.col("tn"), self.tenths) & (F.struct("tb", "ti") < F.struct("batch_no", "doc_id")))
-        return both.where(similar("grams", "tg", self.tenths)).select("doc_id", F.col("mine").alias("key")).distinct()
+        more = None
+        for batch, open_ in self._asked:
+            rest = open_.join(near.select(F.col("key").alias("mine")), "mine", "left_anti")
+            part = self._pairs(batch, rest, F.col("r") > FIRST_HOLDERS)
+            more = part if more is None else more.unionByName(part)
+        return near.select("doc_id").unionByName(self._settle(more, pages).select("doc_id")).distinct()
+
+    def _settle(self, pairs: DataFrame, pages: DataFrame) -> DataFrame:
+        """Pairs that pass the bounds on size, order and parity sketch, then the exact test. A text stands for
+        the earliest page that has it."""
+        heads = pages.where("key is not null").groupBy("key").agg(F.min(F.struct("batch_no", "doc_id")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        own = heads.select(F.col("key").alias("mine"), F.col("at").alias("my_at"), F.col("n").alias("my_n"), F.col("sketch").alias("my_sketch"))
+        differ = F.aggregate(F.zip_with("sketch", "my_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        t = self.tenths
+        both = pairs.join(heads, "key").join(own, "mine").where((F.col("at") < F.col("my_at")) & sizes_allow(F.col("n"), F.col("my_n"), t) & (differ * (10 + t) <= (F.col("n") + F.col("my_n")) * (10 - t)))
+        left = materialize(both.select("mine", "key", F.col("my_at.doc_id").alias("doc_id")), "open")
+        named = materialize(left.select(F.explode(F.array("mine", "key")).alias("key")).distinct(), "named")
+        sets = keep_keys(pages.where("key is not null").select("key", "grams"), named).join(named, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+        tested = left.join(sets.withColumnRenamed("grams", "g"), "key").join(sets.withColumnRenamed("key", "mine"), "mine").where(similar("g", "grams", t))
+        return tested.select("doc_id", F.col("mine").alias("key")).distinct()
 
 
 def new_batch_duplicates(df: DataFrame, history_batch: int = 0, **columns: str) -> DataFrame:
@@ -218,9 +230,9 @@ def new_batch_duplicates(df: DataFrame, history_batch: int = 0, **columns: str)
     copies = spark.createDataFrame([], "doc_id long")
     pairs = spark.createDataFrame([], "mine long, key long")
     for b in batches:
-        got = history.add(pages.where(F.col("batch_no") == b), check=b > history_batch)
+        got = history.add(pages.where(F.col("batch_no") == b), b, check=b > history_batch)
         if got is not None:
             copies, pairs = copies.unionByName(got[0]), pairs.unionByName(got[1])
     if not batches or batches[-1] <= history_batch:
         return copies.select("doc_id", F.lit("copy").alias("reason"))
-    return copies.select("doc_id", F.lit("copy").alias("reason")).unionByName(history.alike(pairs).select("doc_id", F.lit("near").alias("reason"))).distinct()
+    return copies.select("doc_id", F.lit("copy").alias("reason")).unionByName(history.alike(pairs, pages).select("doc_id", F.lit("near").alias("reason"))).distinct()

@@ -48,6 +48,10 @@ def matches(fields: list[Column], query: str) -> Column:
     return F.size(F.array_intersect(every, F.array(*map(F.lit, wanted)))) == len(wanted)
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def rank(fields: dict[str, Column], query: str, weights: dict[str, int] | None = None) -> Column:
     """Sum over lexemes and fields of weight x 1000 x tf / (1 + tf), in whole numbers."""
     weights = weights or WEIGHTS
@@ -55,6 +59,6 @@ def rank(fields: dict[str, Column], query: str, weights: dict[str, int] | None =
     for name, text in fields.items():
         own = tokens(text)
         for w in query_tokens(query):
-            tf = F.size(F.filter(own, lambda x, w=w: x == w)).cast("long")
+            tf = F.size(F.filter(own, _equals(w))).cast("long")
             total = total + F.floor(tf * (1000 * weights[name]) / (tf + 1)).cast("long")
     return total

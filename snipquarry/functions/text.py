@@ -135,6 +135,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def content_hash(c: Column) -> Column:
     """MD5 hex of the UTF-8 text; null stays null."""
     return F.md5(c)
@@ -279,18 +284,25 @@ TITLE_ENDINGS = (" Documentation", " Docs", " | Home", " - Official Site", " - H
 def site_name(title: Column, metadata: Column | None = None) -> Column:
     """Site name from metadata (JSON) or from a cleaned page title, at most 50 characters."""
     clean = F.coalesce(*[F.when(title.endswith(e), F.substring(title, F.lit(1), F.length(title) - len(e))) for e in TITLE_ENDINGS], title)
-    for sep, fall_back in ((" | ", True), (" - ", False)):
-        first, last = F.split_part(clean, F.lit(sep), F.lit(1)), F.split_part(clean, F.lit(sep), F.lit(-1))
-        good = (F.length(first) <= 30) & ~F.lower(first).rlike("documentation|docs|guide")
-        step = F.when(good, strip(first)).otherwise(strip(last) if fall_back else clean)
-        # the second separator counts only where the first is absent from the title
-        clean = F.when(clean.contains(sep) & (F.lit(sep == " | ") | ~title.contains(" | ")), step).otherwise(clean)
-    clean = F.regexp_replace(clean, r"\s+v?\d+(\.\d+)*$", "")
-    cut = F.substring(clean, 1, 50)
-    clean = F.when(F.length(clean) > 50, F.concat(F.regexp_replace(cut, r" [^ ]*$", ""), F.lit("..."))).otherwise(strip(clean))
+
+    def first_if_good(sep: str, otherwise_last: bool):
+        def pick(c: Column) -> Column:
+            first, last = F.split_part(c, F.lit(sep), F.lit(1)), F.split_part(c, F.lit(sep), F.lit(-1))
+            good = (F.length(first) <= 30) & ~F.lower(first).rlike("documentation|docs|guide")
+            return F.when(good, strip(first)).otherwise(strip(last) if otherwise_last else c)
+
+        return pick
+
+    def part(c: Column) -> Column:
+        return F.when(c.contains(" | "), first_if_good(" | ", True)(c)).when(c.contains(" - "), first_if_good(" - ", False)(c)).otherwise(c)
+
+    def shorten(c: Column) -> Column:
+        return F.when(F.length(c) > 50, F.concat(F.regexp_replace(F.substring(c, 1, 50), r" [^ ]*$", ""), F.lit("..."))).otherwise(strip(c))
+
+    clean = let(F.regexp_replace(let(clean, part), r"\s+v?\d+(\.\d+)*$", ""), shorten)
     if metadata is None:
         return clean
-    short = lambda key: F.when(F.length(v := F.nullif(F.get_json_object(metadata, f"$['{key}']"), F.lit(""))) <= 50, v)
+    short = lambda key: let(F.nullif(F.get_json_object(metadata, f"$['{key}']"), F.lit("")), lambda v: F.when(F.length(v) <= 50, v))
     return F.coalesce(strip(short("og:site_name")), strip(short("application-name")), strip(F.regexp_replace(short("twitter:site"), "^@", "")), clean)
 
 

@@ -1,11 +1,13 @@
 """Deduplicating new batches against all history, without working through the history anew.
 
 Method: every accepted page leaves hashes in tables bucketed by hash: exact keys (normalised address,
-content hash, text), paragraph hashes with their first holder, and the rarest-first prefix of its
-five-word runs. A new batch brings only its own hashes; bucket-local joins find full copies and pages
-that share a paragraph or a rare run, an exact Jaccard test settles the latter, and the batch's hashes
-are appended. Paragraphs alone would miss pages edited in every paragraph; the run prefixes, which any
-two texts over the threshold share, close that gap.
+content hash, text) and paragraph and passage hashes with their holders. A new batch brings only its own hashes; bucket-local joins find full copies and pages
+that share a paragraph or passage, an exact Jaccard test settles the latter, and the batch's hashes
+are appended. Paragraphs alone would miss pages edited in every paragraph, so passages are hashed too:
+winnowed runs of eight words. Two texts over the threshold share s runs of five words and differ in at
+most 0.43 s; a break between shared stretches costs at least eight, so some stretch holds 13 runs, that is
+17 words, and winnowing marks every shared stretch of 17 words alike in both. Passages that very many
+texts hold are compared with their first holders; what stays open is joined on rarest-first run prefixes.
 """
 
 from __future__ import annotations
@@ -26,9 +28,20 @@ from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, simila
 
 RUN = 5
 MIN_WORDS = 50
+#: Words of a passage, and passages among which the least hash is kept.
+PASSAGE, WINDOW = 8, 10
 #: Holders of one mark that are compared at once; those beyond follow in a second round.
 FIRST_HOLDERS = 16
 
+def winnow(hashes: np.ndarray) -> np.ndarray:
+    """Marks of a text's passages: the least hash of every WINDOW consecutive runs of PASSAGE words."""
+    r = runs(hashes, PASSAGE)
+    if len(r) <= WINDOW:
+        return r[:0] if not len(r) else r.min(keepdims=True)
+    windows = np.lib.stride_tricks.sliding_window_view(r, WINDOW)
+    return np.unique(r[windows.argmin(axis=1) + np.arange(len(windows))])
+
+
 # Query parameters that only follow the visitor.
 TRACKING = frozenset(
     "ref referrer referer ref_src source_ref session sessionid session_id sid jsessionid phpsessid aspsessionid cfid cftoken gclid gclsrc dclid fbclid msclkid yclid twclid igshid mc_cid mc_eid _ga _gl _hsenc _hsmi campaign campaign_id cmpid affiliate aff_id trk wt_mc icid".split()
@@ -70,9 +83,9 @@ def _h(s: str) -> int:
 
 
 _PAGE = pa.schema(
-    [("doc_id", pa.int64()), ("batch_no", pa.int32()), ("exact", pa.list_(pa.field("element", pa.int64()))), ("key", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.field("element", pa.int32()))), ("paras", pa.list_(pa.field("element", pa.int64()))), ("sketch", pa.list_(pa.field("element", pa.int64())))]
+    [("doc_id", pa.int64()), ("batch_no", pa.int32()), ("exact", pa.list_(pa.field("element", pa.int64()))), ("key", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.field("element", pa.int32()))), ("marks", pa.list_(pa.field("element", pa.int64()))), ("sketch", pa.list_(pa.field("element", pa.int64())))]
 )
-_PAGE_DDL = "doc_id long, batch_no int, exact array<bigint>, key long, n int, grams array<int>, paras array<bigint>, sketch array<bigint>"
+_PAGE_DDL = "doc_id long, batch_no int, exact array<bigint>, key long, n int, grams array<int>, marks array<bigint>, sketch array<bigint>"
 #: Bits of a page's parity sketch; see ``parity``.
 BITS = 1024
 
@@ -89,7 +102,7 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            exact, keys, sizes, grams, paras, sketches = [], [], [], [], [], []
+            exact, keys, sizes, grams, marks, sketches = [], [], [], [], [], []
             for u, c, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 own = []
                 if (a := address(u)) is not None:
@@ -102,18 +115,20 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
                     keys.append(None)
                     sizes.append(None)
                     grams.append(None)
-                    paras.append([])
+                    marks.append([])
                     sketches.append(None)
                     continue
                 hashes = [hash_tokens(w) for w in parts]
-                g = to_grams(runs(np.concatenate(hashes), RUN))
+                whole = np.concatenate(hashes)
+                g = to_grams(runs(whole, RUN))
                 keys.append(set_key(g))
                 sizes.append(len(g))
                 sketches.append(parity(g))
                 grams.append(g)
-                paras.append(list({int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64)) for x in hashes if len(x) >= RUN}))
+                paragraphs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in hashes if len(x) >= RUN], dtype=np.uint64)
+                marks.append(np.unique(np.concatenate((winnow(whole), paragraphs))).view(np.int64))
             columns = [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32())]
-            columns += [pa.array(x, type=f.type) for x, f in zip((exact, keys, sizes, grams, paras, sketches), list(_PAGE)[2:], strict=True)]
+            columns += [pa.array(x, type=f.type) for x, f in zip((exact, keys, sizes, grams, marks, sketches), list(_PAGE)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=_PAGE)
 
     rows = df.select(F.col(doc), F.coalesce(F.col(batch), F.lit(0)), F.col(url), F.col(content_hash), F.col(text))
@@ -132,7 +147,6 @@ class History:
         self.spark, self.tenths = spark, tenths
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = "history_" + uuid.uuid4().hex
-        self.order: np.ndarray | None = None
         self._known: set[str] = set()
         self._asked: list[tuple[int, DataFrame]] = []
 
@@ -153,8 +167,6 @@ class History:
         ``pages`` are materialised rows of ``page_hashes``. Gives the full copies (doc_id) and the pairs of
         text keys (mine, key) that share a mark; ``alike`` settles the latter, for one batch or for several.
         """
-        if self.order is None:  # any fixed order is right; rarity in the first batch makes it fast
-            self.order = sketch_of(pages.where(F.col("grams").isNotNull()))
         # exact keys: a batch's copies are counted before they meet the history, so no key is hot
         keys = pages.select("doc_id", F.explode("exact").alias("k")).unionByName(pages.where("key is not null").select("doc_id", F.col("key").alias("k")))
         firsts = keys.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
@@ -164,17 +176,17 @@ class History:
             held = firsts.withColumn("old", F.lit(False))
         held = materialize(held, "firsts")
         self._append("keys", held.where("not old").select("k").repartition(self.buckets, "k"), "k")
-        # marks: copies of a text within a task are posted once; a mark's repeats end after the exchange
-        posts = prefix_postings(pages.select("grams", "key").where("key is not null"), self.order, ["key"], self.tenths, once_per="key")
-        posts = posts.unionByName(pages.select(F.explode("paras").alias("p"), "key").select((F.xxhash64("p") % 2147483647).cast("int").alias("h"), "key"))
+        # known keys: held before, or more than once in this batch
+        copies = materialize(keys.join(held.where("old or m > 1"), "k").where("old or doc_id > first").select("doc_id", "k"), "copies")
+        # only the first page of each text posts its marks: whatever is like a copy is like the original
+        firsts = pages.where("key is not null").select("doc_id", "key", "marks").join(copies.withColumnRenamed("k", "key"), ["doc_id", "key"], "left_anti")
         place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
-        posts = posts.repartition(self.buckets, "h").dropDuplicates(["h", "key"]).withColumn("r", place)
+        posts = firsts.select("key", F.explode("marks").alias("h")).repartition(self.buckets, "h").withColumn("r", place)
         self._append("posts", posts.withColumn("b", F.lit(batch)), "h")
         if not check:
             return None
-        # known keys: held before, or more than once in this batch; whatever is like a copy is like the original
-        copies = materialize(keys.join(held.where("old or m > 1"), "k").where("old or doc_id > first").select("doc_id").distinct(), "copies")
-        open_ = pages.where("key is not null").select("doc_id", F.col("key").alias("mine")).join(copies, "doc_id", "left_anti").select("mine")
+        copies = copies.select("doc_id").distinct()
+        open_ = firsts.select("doc_id", F.col("key").alias("mine")).join(copies, "doc_id", "left_anti").select("mine")
         self._asked.append((batch, open_))
         return copies, self._pairs(batch, open_, F.col("r") <= FIRST_HOLDERS)
 
@@ -187,15 +199,21 @@ class History:
     def alike(self, pairs: DataFrame, pages: DataFrame) -> DataFrame:
         """(doc_id) of the pages alike to an earlier page, among pairs that ``add`` gave; ``pages`` are all so far."""
         near = self._settle(pairs, pages)
-        # marks with many holders: what is still open is compared with all the others, too
-        if self._table("posts").where(F.col("r") > FIRST_HOLDERS).isEmpty():
+        often = self._table("posts").where(F.col("r") > FIRST_HOLDERS).select("h").distinct()
+        if often.isEmpty():
             return near.select("doc_id")
-        near = materialize(near, "near")
-        more = None
-        for batch, open_ in self._asked:
-            rest = open_.join(near.select(F.col("key").alias("mine")), "mine", "left_anti")
-            part = self._pairs(batch, rest, F.col("r") > FIRST_HOLDERS)
-            more = part if more is None else more.unionByName(part)
+        # texts with a mark of many holders: those still open meet the others on rarest-first run prefixes,
+        # which no common passage enters unless it makes up most of a text
+        near, often = materialize(near, "near"), materialize(often, "often")
+        held = materialize(self._table("posts").join(often, "h", "left_semi").select("key").distinct(), "held")
+        texts = pages.where("key is not null").select("key", "grams").join(held, "key", "left_semi")
+        prefixes = materialize(prefix_postings(texts, sketch_of(texts), ["key"], self.tenths, once_per="key").distinct(), "prefixes")
+        open_ = None
+        for _, o in self._asked:
+            open_ = o if open_ is None else open_.unionByName(o)
+        rest = open_.join(near.select(F.col("key").alias("mine")), "mine", "left_anti")
+        mine = prefixes.withColumnRenamed("key", "mine").join(rest, "mine", "left_semi")
+        more = materialize(mine.join(prefixes, "h").where("mine <> key").select("mine", "key").distinct(), "pairs")
         return near.select("doc_id").unionByName(self._settle(more, pages).select("doc_id")).distinct()
 
     def _settle(self, pairs: DataFrame, pages: DataFrame) -> DataFrame:

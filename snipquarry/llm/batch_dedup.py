@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .common import hash_tokens, runs, words
+from .common import count_sketch, hash_tokens, runs, words
 from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
 
 RUN = 5
@@ -33,12 +33,34 @@ PASSAGE, WINDOW = 8, 10
 #: Holders of one mark that are compared at once; those beyond follow in a second round.
 FIRST_HOLDERS = 16
 
-def winnow(hashes: np.ndarray) -> np.ndarray:
-    """Marks of a text's passages: the least hash of every WINDOW consecutive runs of PASSAGE words."""
+#: Counters of the sketch that orders passages: 4 MiB, whatever the data.
+ORDER_BITS = 20
+
+
+def passage_order(df: DataFrame, text: str) -> np.ndarray:
+    """Counts of passages in the accepted history; fixed from then on, so that marks never change."""
+
+    def slots(b: pa.RecordBatch) -> np.ndarray:
+        found = [runs(hash_tokens(words(t)), PASSAGE) >> np.uint64(64 - ORDER_BITS) for t in b.column(0).to_pylist() if t]
+        return np.concatenate(found).astype(np.int64) if found else np.empty(0, dtype=np.int64)
+
+    return count_sketch(df.select(text), slots, ORDER_BITS)
+
+
+def winnow(hashes: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Marks of a text's passages: of every WINDOW consecutive runs of PASSAGE words the rarest by ``order``,
+    then the one of least hash. Any fixed order marks a shared stretch alike in both texts; a rare-first
+    one passes over wording that very many pages share."""
     r = runs(hashes, PASSAGE)
+    if not len(r):
+        return r
+    place = r >> np.uint64(20)
+    if order is not None:
+        rarity = np.minimum(order[(r >> np.uint64(64 - ORDER_BITS)).astype(np.int64)], (1 << 20) - 1)
+        place = rarity.astype(np.uint64) << np.uint64(44) | place
     if len(r) <= WINDOW:
-        return r[:0] if not len(r) else r.min(keepdims=True)
-    windows = np.lib.stride_tricks.sliding_window_view(r, WINDOW)
+        return r[[place.argmin()]]
+    windows = np.lib.stride_tricks.sliding_window_view(place, WINDOW)
     return np.unique(r[windows.argmin(axis=1) + np.arange(len(windows))])
 
 
@@ -96,11 +118,14 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url: str = "url", content_hash: str = "content_hash", text: str = "text") -> DataFrame:
+def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url: str = "url", content_hash: str = "content_hash", text: str = "text", order: np.ndarray | None = None) -> DataFrame:
     """One row of hashes per page; ``exact`` holds those of the address and the content hash, ``key`` and
     ``grams`` are null for texts under MIN_WORDS words."""
 
+    shared = df.sparkSession.sparkContext.broadcast(order)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
         for b in batches:
             exact, keys, sizes, grams, marks, sketches = [], [], [], [], [], []
             for u, c, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
@@ -125,8 +150,9 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
                 sizes.append(len(g))
                 sketches.append(parity(g))
                 grams.append(g)
-                paragraphs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in hashes if len(x) >= RUN], dtype=np.uint64)
-                marks.append(np.unique(np.concatenate((winnow(whole), paragraphs))).view(np.int64))
+                # shorter paragraphs say little, and recur as headings and notes
+                paragraphs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in hashes if len(x) >= PASSAGE + WINDOW], dtype=np.uint64)
+                marks.append(np.unique(np.concatenate((winnow(whole, order), paragraphs))).view(np.int64))
             columns = [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32())]
             columns += [pa.array(x, type=f.type) for x, f in zip((exact, keys, sizes, grams, marks, sketches), list(_PAGE)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=_PAGE)
@@ -241,7 +267,9 @@ def new_batch_duplicates(df: DataFrame, history_batch: int = 0, **columns: str)
     """
     spark = df.sparkSession
     path = scratch_path(spark, "pages")
-    page_hashes(df, **columns).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
+    past = df.where(F.coalesce(F.col(columns.get("batch", "batch_no")), F.lit(0)) <= history_batch)
+    order = passage_order(past, columns.get("text", "text"))
+    page_hashes(df, **columns, order=order).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
     pages = spark.read.schema(_PAGE_DDL).parquet(path)
     batches = sorted(r["batch_no"] for r in pages.select("batch_no").distinct().collect())  # one row per batch
     history = History(spark)

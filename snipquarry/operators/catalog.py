@@ -29,6 +29,11 @@ def job_of(d: DataFrame | None = None) -> Column:
     return F.coalesce("crawl_job_id", "upload_job_id")
 
 
+def in_source(*ids: str) -> Column:
+    """Documents of the given sources, as a predicate that reaches the Parquet scan."""
+    return F.col("crawl_job_id").isin(*ids) | F.col("upload_job_id").isin(*ids)
+
+
 def sources(t: Tables) -> DataFrame:
     """One row per crawl or upload source."""
     crawl = t.crawl_jobs.select("id", "name", "version", "domain", "status", "start_urls", "config", "created_at", "updated_at", F.lit("crawl").alias("kind"), F.lit(None).cast("int").alias("file_count"))
@@ -126,7 +131,7 @@ def filtered_sources(t: Tables, query: str | None = None, least: int | None = No
 
 
 def source_documents(t: Tables, source_id: str, limit: int = 10, offset: int = 0) -> DataFrame:
-    d = t.documents.where(job_of() == source_id).select("doc_id", "url", "title", "created_at").orderBy(F.desc("created_at"), "doc_id").offset(offset).limit(limit)
+    d = t.documents.where(in_source(source_id)).select("doc_id", "url", "title", "created_at").orderBy(F.desc("created_at"), "doc_id").offset(offset).limit(limit)
     # only the page's documents are counted
     n = t.snippets.join(d.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("snippet_count"))
     return d.join(n, "doc_id", "left").select("doc_id", "url", "title", F.coalesce("snippet_count", F.lit(0)).alias("snippet_count"))
@@ -135,7 +140,7 @@ def source_documents(t: Tables, source_id: str, limit: int = 10, offset: int = 0
 def source_snippets(t: Tables, source_id: str, language: str | None = None, query: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
     """A page of a source's snippets, newest first. The language is compared as it is; the query is a
     substring of title, description or code in any case."""
-    d = t.documents.where(job_of() == source_id).select(F.col("doc_id").alias("document_id"))
+    d = t.documents.where(in_source(source_id)).select(F.col("doc_id").alias("document_id"))
     s = t.snippets.join(d, "document_id", "left_semi")
     if language:
         s = s.where(F.col("language") == language)

@@ -99,3 +99,19 @@ def store_defaults(blocks: DataFrame, page_title: str = "page_title") -> DataFra
 def skip_rate(classified: DataFrame) -> DataFrame:
     """pages, skipped, percent of a crawl that had nothing to do."""
     return classified.agg(F.count("*").alias("pages"), F.count_if(F.col("change") == "unchanged").alias("skipped")).withColumn("percent", F.when(F.col("pages") > 0, F.round(F.col("skipped") * 100.0 / F.col("pages"), 4)).otherwise(0.0))
+
+
+def regeneration_summary(changes: DataFrame, key: str, preview: int = 10) -> DataFrame:
+    """total, changed, and the keys of changed rows among the first ``preview`` rows by key."""
+    first = changes.orderBy(key).limit(preview).where("changed").agg(F.sort_array(F.collect_list(key)).alias("preview"))
+    return changes.agg(F.count("*").alias("total"), F.count_if("changed").alias("changed")).crossJoin(F.broadcast(first))
+
+
+AUTO = "[Auto-detecting"
+
+
+def auto_names(jobs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, name): jobs that still bear the placeholder take the site name of their first page, by depth and id."""
+    first = documents.where("crawl_job_id is not null").groupBy(F.col("crawl_job_id").alias("id")).agg(F.min_by(F.struct("title", "meta_data"), F.struct(F.coalesce("crawl_depth", F.lit(0)), "doc_id")).alias("page"))
+    name = text.site_name(F.col("page.title"), F.col("page.meta_data"))
+    return jobs.join(first, "id", "left").select("id", F.when(F.col("name").startswith(AUTO), F.coalesce(name, F.col("name"))).otherwise(F.col("name")).alias("name"))

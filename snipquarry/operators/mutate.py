@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from .catalog import Tables, job_of
+from .catalog import Tables, in_source, job_of
 
 
 def delete_sources(t: Tables, ids: DataFrame) -> Tables:
@@ -37,7 +37,7 @@ def _without_snippets(t: Tables, ids: DataFrame) -> dict[str, DataFrame]:
 
 def matching_snippets(t: Tables, source_id: str, query: str | None = None, language: str | None = None) -> DataFrame:
     """Snippets of a source by query (all lexemes in one field) and language."""
-    s = t.snippets.join(t.documents.where(job_of() == source_id).select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
+    s = t.snippets.join(t.documents.where(in_source(source_id)).select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
     if language:
         s = s.where(F.col("language") == language)
     if query:

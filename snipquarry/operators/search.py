@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import similarity as sim
-from .catalog import Tables, job_of
+from .catalog import Tables, in_source
 from .relations import neighbours
 
 FALLBACK_BELOW = 5
@@ -38,7 +39,7 @@ def search_postings(index: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def _in_sources(t: Tables, source_ids: list[str] | None) -> DataFrame | None:
     if not source_ids:
         return None
-    return t.documents.where(job_of().isin(source_ids)).select(F.col("doc_id").alias("document_id"))
+    return t.documents.where(in_source(*source_ids)).select(F.col("doc_id").alias("document_id"))
 
 
 def direct(t: Tables, query: str, source_ids: list[str] | None = None, language: str | None = None, snippet_type: str | None = None) -> DataFrame:
@@ -80,11 +81,11 @@ def search_function(t: Tables, query: str | None = None, source: str | None = No
     return s.orderBy(*order).offset(offset).limit(limit).drop("created_at")
 
 
-def search_pages(t: Tables, query: str, source_id: str | None = None, limit: int = MARKDOWN_DOCS) -> DataFrame:
-    """(doc_id, title, rank): best pages by title and text."""
+def search_pages(t: Tables, query: str, source_id: str | None = None, limit: int = MARKDOWN_DOCS, stems: bool = False) -> DataFrame:
+    """(doc_id, title, rank): best pages by title and text; with ``stems`` words match by their English stem."""
     d = t.documents if source_id is None else t.documents.where(F.col("crawl_job_id") == source_id)
     fields = {k: F.col(k) for k in PAGE_WEIGHTS}
-    d = d.where(sim.matches(list(fields.values()), query))
+    d = d.where((english if stems else sim).matches(list(fields.values()), query))
     return d.select("doc_id", "title", sim.rank(fields, query, PAGE_WEIGHTS).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(limit)
 
 

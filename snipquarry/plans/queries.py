@@ -557,6 +557,22 @@ def regenerate_metadata(t):
     return ingest.apply_changes(t.snippets.select("id", "title"), new, "id", ["title"])
 
 
+@query("select (select count(*) from code_snippets) as total, count(*) filter (id % 2 = 0 and ('New ' || id) is distinct from title) as changed, [2, 4, 6, 8, 10]::bigint[] as preview from code_snippets")
+def regeneration_summary(t):
+    new = t.snippets.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("New "), F.col("id").cast("string"))).alias("title"))
+    return ingest.regeneration_summary(ingest.apply_changes(t.snippets.select("id", "title"), new, "id", ["title"]), "id")
+
+
+@query()
+def search_pages_by_stem(t):
+    return search.search_pages(t, "caching buffers", stems=True)
+
+
+@query()
+def auto_named_jobs(t):
+    return ingest.auto_names(t.crawl_jobs.withColumn("name", F.lit(ingest.AUTO + " from x]")), t.documents)
+
+
 # ---- mutations --------------------------------------------------------------------------------------
 
 

@@ -48,7 +48,7 @@ def notifications(beats: DataFrame) -> DataFrame:
 
 
 def activity(beats: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Reports per job and window of event time (an extension: the reference works by wall clock)."""
+    """Reports per job and window of event time."""
     d = beats.select("crawl_job_id", "ts", "phase", "processed").distinct()
     return d.groupBy("crawl_job_id", F.window("ts", width).alias("w")).agg(F.count("*").alias("reports")).select("crawl_job_id", F.col("w.start").alias("window_start"), "reports")
 

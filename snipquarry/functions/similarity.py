@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Field weights of the ranking, as whole numbers so that sums are exact: A title, B description, C code.
 WEIGHTS = {"title": 10, "description": 4, "code_content": 2, "functions": 4, "imports": 2}
 
@@ -22,8 +24,13 @@ def trigrams(c: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Shared share of two texts' trigrams, 0 for texts without any; null counts as none."""
     x, y = F.coalesce(trigrams(a), F.array().cast("array<string>")), F.coalesce(trigrams(b), F.array().cast("array<string>"))
-    n = F.size(F.array_union(x, y))
-    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / n)
+
+    def ratio(t: Column) -> Column:
+        both = F.size(F.array_intersect(t, y))
+        n = F.size(t) + F.size(y) - both
+        return F.when(n == 0, 0.0).otherwise(both / n)
+
+    return let(x, ratio)
 
 
 def tokens(c: Column) -> Column:

@@ -121,7 +121,8 @@ def search(t: Tables, query: str, source_ids: list[str] | None = None, language:
 def similar_code(t: Tables, code: str, least: float = 0.1, limit: int = 10) -> DataFrame:
     """Snippets by trigram similarity of their code to a given one."""
     s = t.snippets.select("id", sim.similarity(F.col("code_content"), F.lit(code)).alias("score"))
-    return s.where(F.col("score") > least).orderBy(F.desc("score"), "id").limit(limit)
+    # the threshold follows the cut: the same rows, and the score is computed once a row
+    return s.orderBy(F.desc("score"), "id").limit(limit).where(F.col("score") > least)
 
 
 def sections(t: Tables, query: str, budget: int = 500) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keyword-stuffed and link-list pages.
 
-Method: pointwise mutual information of neighbouring words, from word and pair counts over the whole
-corpus (count sketches of fixed size). A page is judged by the share of its words that stand in
+Method: pointwise mutual information of neighbouring words, from exact word and pair counts over the
+whole corpus: counted by groups of pages, summed by key, and joined back to the groups. A page is judged by the share of its words that stand in
 incoherent lists (not sentences, with neighbours that share little information or the same few words
 over and over) or in excessively repeated collocations (sentences that only repeat search phrases).
 """
@@ -10,15 +10,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SKETCH_BITS, WORD, count_sketch, each_batch, hash_tokens, runs, words
+from .common import WORD, hash_tokens, runs, words
 
+#: No longer read here; tests size arrays with it.
 PAIR_BITS = 20
+#: Pages that are counted and judged together.
+GROUP_ROWS = 1024
+#: The key of the number of all words.
+TOTAL = np.uint64(0)
 MIN_WORDS = 30
 #: A page is spam if more than this share of its words stands in such lines.
 SPAM_SHARE = 0.5
@@ -35,39 +41,52 @@ _TAG = re.compile(r"#\w+")
 _CUT = re.compile(r"(?<=[.!?。!?])\s+|(?<=[。!?])")
 
 
-def _slots(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+def _keys(text: str) -> np.ndarray:
+    """The 64-bit keys of a text's words and of its neighbouring pairs."""
+    h = hash_tokens(words(text))
+    return np.concatenate([h, runs(h, 2)])
 
 
-def sketches(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of words and of neighbouring pairs over all texts, in one pass: the word counters come first."""
-    n_words, n_pairs = 1 << SKETCH_BITS, 1 << PAIR_BITS
-
-    def slots(b: pa.RecordBatch) -> np.ndarray:
-        out = []
-        for t in b.column(0).to_pylist():
-            if t:
-                h = hash_tokens(words(t))
-                out += [_slots(h, SKETCH_BITS), n_pairs + _slots(runs(h, 2), PAIR_BITS)]
-        return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
-
-    both = count_sketch(df.select(text), slots, PAIR_BITS + 1)
-    return both[:n_words], both[n_pairs:]
+def counted(rows: DataFrame) -> DataFrame:
+    """(group, key, n): for every group of pages, the exact count over all texts of each word and pair that the group has.
 
+    Key ``TOTAL`` holds the number of all words. Groups are counted in one pass, and a key's counts are
+    summed over them; nothing comes to the driver.
+    """
 
-def information(h: np.ndarray, unigrams: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """PMI in bits of every neighbouring pair of a page; the page's own occurrence is always counted."""
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, n = np.append(keys, TOTAL), np.append(n, n_words)
+            return pa.RecordBatch.from_pydict({"group": pa.array(np.full(len(keys), group)), "key": pa.array(keys.view(np.int64)), "part": pa.array(n.astype(np.int64))})
+
+        group, held, n_words = None, [], 0
+        for b in batches:
+            for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if g != group:
+                    if held:
+                        yield flush()
+                    group, held, n_words = g, [], 0
+                if t and len(keys := _keys(t)):
+                    held.append(keys)
+                    n_words += (len(keys) + 1) // 2
+        if held:
+            yield flush()
+
+    parts = rows.select("group", "text").mapInArrow(partial, "group long, key long, part long")
+    return parts.select("group", "key", F.sum("part").over(Window.partitionBy("key")).alias("n"))
+
+
+def information(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PMI in bits of every neighbouring pair of a page; ``keys`` is sorted and has the page's words and pairs and ``TOTAL``."""
     if len(h) < 2:
         return np.empty(0)
-    total = max(1.0, float(unigrams.sum(dtype=np.int64)))
-    one = np.maximum(unigrams[_slots(h, SKETCH_BITS)].astype(float), 1.0)
-    # a counter also holds other pairs: their mean is taken off
-    noise = total / len(pairs)
-    two = np.maximum(pairs[_slots(runs(h, 2), PAIR_BITS)].astype(float) - noise, 0.5)
-    return np.log2(two * total / (one[:-1] * one[1:]))
+    count = lambda k: counts[np.searchsorted(keys, k)].astype(float)
+    one = count(h)
+    return np.log2(count(runs(h, 2)) * count(TOTAL) / (one[:-1] * one[1:]))
 
 
-def judge(text: str | None, unigrams: np.ndarray, pairs: np.ndarray) -> dict[str, float]:
+def judge(text: str | None, keys: np.ndarray, counts: np.ndarray) -> dict[str, float]:
     """Word count, mean information, and the shares of listed and stuffed words."""
     all_words = words(text)
     n = len(all_words)
@@ -77,7 +96,7 @@ def judge(text: str | None, unigrams: np.ndarray, pairs: np.ndarray) -> dict[str
     seen = Counter(all_words)
     couples = Counter(zip(all_words, all_words[1:], strict=False))
     hot = {c for c, k in couples.items() if k >= HOT_COUNT and k >= HOT_SHARE * n}
-    info = information(hash_tokens(all_words), unigrams, pairs)
+    info = information(hash_tokens(all_words), keys, counts)
     out["pmi"] = float(info.mean())
     listed = stuffed = at = loose = again = 0
     for line in text.split("\n"):
@@ -115,14 +134,19 @@ def judged(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     Null, empty and very short texts are never spam and have zeros; repeated rows are judged alike; an
     empty table gives an empty result; other columns are left aside.
     """
+    from ..session import materialize
+
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(sketches(rows, "text"))  # 5 MiB, whatever the data
+    rows = materialize(rows.withColumn("group", F.expr(f"monotonically_increasing_id() div {GROUP_ROWS}")), "spam")
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        got = [judge(t, *shared.value) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "n_words": [g["n"] for g in got], "mean_pmi": [g["pmi"] for g in got], "listed_share": [g["listed"] for g in got], "stuffed_share": [g["stuffed"] for g in got], "spam": [g["spam"] for g in got]}
+    def run(pages: pa.Table, known: pa.Table) -> pa.Table:
+        keys, at = np.unique(known["key"].to_numpy().view(np.uint64), return_index=True)
+        counts = known["n"].to_numpy()[at]
+        got = [judge(t, keys, counts) for t in pages["text"].to_pylist()]
+        out = {"doc_id": pages["doc_id"], "n_words": [g["n"] for g in got], "mean_pmi": [g["pmi"] for g in got], "listed_share": [g["listed"] for g in got], "stuffed_share": [g["stuffed"] for g in got], "spam": [g["spam"] for g in got]}
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("mean_pmi", pa.float64()), ("listed_share", pa.float64()), ("stuffed_share", pa.float64()), ("spam", pa.bool_())]))
 
-    return each_batch(rows, "doc_id long, n_words long, mean_pmi double, listed_share double, stuffed_share double, spam boolean", run)
+    return rows.groupBy("group").cogroup(counted(rows).groupBy("group")).applyInArrow(run, "doc_id long, n_words long, mean_pmi double, listed_share double, stuffed_share double, spam boolean")
 
 
 def spam_pages(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -76,3 +76,17 @@ def test_spam(spark):
     d = spark.createDataFrame([*((i, t, 1) for i, t in enumerate(SPAM)), *((100 + i, t, 1) for i, t in enumerate(GOOD)), (200, None, 1), (201, "", 1), (202, " ", 1), (0, SPAM[0], 1)], "doc_id long, text string, spam int")
     assert sorted(r.doc_id for r in spam_pages(d).collect()) == [0, 0, 1, 2, 3, 4]
     assert judged(d).count() == 13 and judged(d.limit(0)).count() == 0
+
+
+def test_counts_are_exact_in_a_large_vocabulary(spark):
+    # 3 million distinct pairs, more than a sketch of 2**20 counters holds apart
+    line = "alpha beta gamma delta epsilon zeta eta theta"
+    rare = spark.range(1500).selectExpr("id + 10 as doc_id", "concat_ws(' ', transform(sequence(1, 2000), i -> concat('w', id, 'x', i))) as text")
+    page = f"{line}\n" + "\n".join(f"q{i}a q{i}b q{i}c q{i}d" for i in range(20))
+    d = spark.createDataFrame([(1, page), (2, page)], "doc_id long, text string").unionByName(rare)
+    total = 2 * 88 + 1500 * 2000
+    got = {r.doc_id: r for r in judged(d.repartition(4)).collect()}
+    # every word and pair of the page stands twice in all: log2(2 * total / 4)
+    assert got[1].mean_pmi == pytest.approx(np.log2(total / 2)) and got[2].mean_pmi == got[1].mean_pmi
+    assert got[10].mean_pmi == pytest.approx(np.log2(total))
+    assert got[1].listed_share == 0

@@ -1,10 +1,11 @@
 """Main content of pages: which lines are the body, which are the site's own matter.
 
-Method: tag-path ratios. A page's lines form a tree of blocks (zone, section, list, item, link ...);
-for every root-to-leaf path the text length and the punctuation per node are aggregated, smoothed
-along the page, fused, and thresholded by their spread: paths over it are content. Short nodes that a
-ratio can't tell apart are settled by where they stand and by what site matter says in any language
-the corpus has. Each page is judged by itself, so nothing is shuffled.
+Method: what stands before the title, lines made of links only, and fixed lists of site wording decide.
+A page's lines also form a tree of blocks (zone, section, list, item, link ...); for every root-to-leaf
+path the text length and the punctuation per node are aggregated, smoothed along the page and fused, but
+this tag-path ratio only settles paragraphs made mostly of links: by itself it loses short prose or keeps
+site matter (figures in the README). Site matter after the title in wording outside the lists is kept.
+Each page is judged by itself, so nothing is shuffled.
 """
 
 from __future__ import annotations

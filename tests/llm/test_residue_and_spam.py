@@ -90,3 +90,15 @@ def test_counts_are_exact_in_a_large_vocabulary(spark):
     assert got[1].mean_pmi == pytest.approx(np.log2(total / 2)) and got[2].mean_pmi == got[1].mean_pmi
     assert got[10].mean_pmi == pytest.approx(np.log2(total))
     assert got[1].listed_share == 0
+
+
+def test_induced_slots(spark):
+    def page(i, owner, greet):
+        return i, f"# T{i}\n\nOwner of this page: {owner}\n\n## About\n\nDear {greet}, welcome to the manual of today.\n\nThe cache keeps %name% and <b>x</b> as they are."
+
+    pages = [page(1, "Ann Lee", "reader"), page(2, "Bo Kim", "guest"), page(3, "", "reader"), page(4, "Cy Orr", "[[first_name]]"), page(5, "Di Poe", "%name%"), page(6, "Ed Roe", "")]
+    pages.append((7, "# T7\n\nThe following holds:\n\n- Ann Lee\n\nWrite [optional] words."))
+    d = spark.createDataFrame(pages, "doc_id long, markdown_content string")
+    assert sorted(tuple(r) for r in residue_pages(d).collect()) == [(i, "residue") for i in (3, 4, 5, 6)]
+    # nothing to align with: no slot
+    assert residue_pages(d.where("doc_id in (3, 4)")).count() == 0

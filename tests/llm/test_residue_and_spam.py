@@ -102,3 +102,21 @@ def test_induced_slots(spark):
     assert sorted(tuple(r) for r in residue_pages(d).collect()) == [(i, "residue") for i in (3, 4, 5, 6)]
     # nothing to align with: no slot
     assert residue_pages(d.where("doc_id in (3, 4)")).count() == 0
+
+
+TRACE = "\n".join(f'  File "/srv/app/part{i}.py", line {i}, in run_part\n    return handlers[{i}](request, context)' for i in range(1, 30))
+
+
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ("# 500 Internal Server Error\n\n```\nTraceback (most recent call last):\n" + TRACE + "\nKeyError: 'user'\n```", True),
+        ("# 500 Internal Server Error\n\nTraceback (most recent call last):\n" + TRACE + "\nKeyError: 'user'", True),
+        ("## Products\n\n[One](/1)\n\n# 404 Not Found\n\nThe page /x could not be found.", True),
+        ("# Reading traces\n\n" + PROSE * 20 + "\n\n```\nTraceback (most recent call last):\n" + "\n".join(TRACE.split("\n")[:4]) + "\n```", False),
+        ("# Not found\n\nThe lookup says so.\n\n```\nif key not in table:\n    return default_value(key)\n```", False),
+        ("# 404 Not Found\n\nWhat it means.\n\n## Causes\n\nA page that is gone.", False),
+    ],
+)
+def test_error_pages_with_traces_and_frames(text, error):
+    assert examine(text)[1] is error

@@ -25,6 +25,7 @@ PAIR_BITS = 20
 GROUP_ROWS = 1024
 #: The key of the number of all words.
 TOTAL = np.uint64(0)
+#: The mean information of fewer words says nothing.
 MIN_WORDS = 30
 #: A page is spam if more than this share of its words stands in such lines.
 SPAM_SHARE = 0.5
@@ -91,13 +92,16 @@ def judge(text: str | None, keys: np.ndarray, counts: np.ndarray) -> dict[str, f
     all_words = words(text)
     n = len(all_words)
     out = {"n": n, "pmi": 0.0, "listed": 0.0, "stuffed": 0.0, "spam": False}
-    if n < MIN_WORDS:
+    if not n:
         return out
+    short = n < MIN_WORDS
     seen = Counter(all_words)
     couples = Counter(zip(all_words, all_words[1:], strict=False))
     hot = {c for c, k in couples.items() if k >= HOT_COUNT and k >= HOT_SHARE * n}
-    info = information(hash_tokens(all_words), keys, counts)
-    out["pmi"] = float(info.mean())
+    info = np.empty(0) if short else information(hash_tokens(all_words), keys, counts)
+    out["pmi"] = 0.0 if short else float(info.mean())
+    # in a short text a word may come back by chance, so a phrase has to
+    phrase = {i + j for i, c in enumerate(zip(all_words, all_words[1:], strict=False)) if short and couples[c] > 1 and c[0] != c[1] for j in (0, 1)}
     listed = stuffed = at = loose = again = 0
     for line in text.split("\n"):
         for piece in _CUT.split(line):
@@ -109,11 +113,11 @@ def judge(text: str | None, keys: np.ndarray, counts: np.ndarray) -> dict[str, f
             linkish = sum(len(WORD.findall(x)) for x in _LINKISH.findall(piece)) + sum(len(WORD.findall(x)) for x in _TAG.findall(piece))
             sentence = bool(_END.search(piece)) and k >= 4 and piece.count(",") + piece.count("|") < 0.34 * k and linkish < 0.5 * k
             if not sentence:
-                if linkish >= 0.5 * k or k >= 4 and float(info[start : start + k - 1].mean()) < SALAD_BITS:
+                if linkish >= 0.5 * k or not short and k >= 4 and float(info[start : start + k - 1].mean()) < SALAD_BITS:
                     listed += k
                 else:
                     loose += k
-                    again += sum(seen[w] > 1 for w in ws)
+                    again += sum(i in phrase for i in range(start, at)) if short else sum(seen[w] > 1 for w in ws)
             elif hot:
                 covered = [False] * k
                 for i in range(k - 1):
@@ -121,7 +125,7 @@ def judge(text: str | None, keys: np.ndarray, counts: np.ndarray) -> dict[str, f
                         covered[i] = covered[i + 1] = True
                 if sum(covered) >= 0.5 * k:
                     stuffed += k
-    if again >= REPEAT_SHARE * loose:
+    if again > SPAM_SHARE * loose if short else again >= REPEAT_SHARE * loose:
         listed += loose
     out["listed"], out["stuffed"] = listed / n, stuffed / n
     out["spam"] = listed + stuffed > SPAM_SHARE * n
@@ -131,7 +135,7 @@ def judge(text: str | None, keys: np.ndarray, counts: np.ndarray) -> dict[str, f
 def judged(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, mean_pmi, listed_share, stuffed_share, spam): one row per row.
 
-    Null, empty and very short texts are never spam and have zeros; repeated rows are judged alike; an
+    Null and empty texts are never spam and have zeros, and texts under ``MIN_WORDS`` a zero mean_pmi; repeated rows are judged alike; an
     empty table gives an empty result; other columns are left aside.
     """
     from ..session import materialize

@@ -120,3 +120,18 @@ TRACE = "\n".join(f'  File "/srv/app/part{i}.py", line {i}, in run_part\n    ret
 )
 def test_error_pages_with_traces_and_frames(text, error):
     assert examine(text)[1] is error
+
+
+@pytest.mark.parametrize(
+    ("text", "spam"),
+    [
+        ("http://a.example/cheap/x.html\nhttp://b.example/cheap/y.html", True),
+        ("#cheap_ticket #freebundle #crack_driver #cheapticket", True),
+        ("cheap ticket, free bundle, cheap ticket, free bundle, cheap ticket", True),
+        ("The cache keeps every page until the reader asks for it.", False),
+        ("Cache and queue\n\nThe queue", False),
+        ("asdf asdf test test kernel blah blah blah", False),
+    ],
+)
+def test_short_texts_are_judged(text, spam):
+    assert judge(text, np.zeros(1, np.uint64), np.ones(1))["spam"] is spam

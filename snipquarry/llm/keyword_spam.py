@@ -1,40 +1,38 @@
 """Keyword-stuffed and link-list pages.
 
 Method: pointwise mutual information of neighbouring words, from exact word and pair counts over the
-whole corpus: counted by groups of pages, summed by key, and joined back to the groups. A page is judged by the share of its words that stand in
-incoherent lists (not sentences, with neighbours that share little information or the same few words
-over and over) or in excessively repeated collocations (sentences that only repeat search phrases).
+whole corpus: counted by groups of pages, summed by key, and joined back to the groups. A page's own
+occurrences, and its copies', are taken off, so that keywords which only this page joins say nothing for each other. A
+page is spam if more than half of its words stand in word salad (pieces that are no sentences, with
+little mean information around them), in excessively repeated collocations (sentences that only repeat
+search phrases), or in links and tags.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, hash_tokens, runs, words
 
-#: No longer read here; tests size arrays with it.
-PAIR_BITS = 20
 #: Pages that are counted and judged together.
 GROUP_ROWS = 1024
 #: The key of the number of all words.
 TOTAL = np.uint64(0)
-#: The mean information of fewer words says nothing.
+#: The mean information of fewer words says little.
 MIN_WORDS = 30
-#: A page is spam if more than this share of its words stands in such lines.
+#: A page is spam if more than this share of its words stands in such pieces.
 SPAM_SHARE = 0.5
 #: A collocation is excessive from this count and this share of the page's words on.
 HOT_COUNT, HOT_SHARE = 4, 0.04
-#: A page's lines that aren't sentences are keyword lists if this share of their words comes back in the page.
-REPEAT_SHARE = 0.45
-#: Below this mean information (in bits) a line that isn't a sentence is word salad.
-SALAD_BITS = 1.0
+#: Neighbours on either side over which information is averaged, and the mean in bits below which a piece is word salad.
+REACH, SALAD_BITS = 8, 2.25
 
 _END = re.compile(r"[.!?:。!?:…][\"'”’»)\]*_]*\s*$")
 _LINKISH = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}/\S*", re.IGNORECASE)
@@ -43,9 +41,13 @@ _CUT = re.compile(r"(?<=[.!?。!?])\s+|(?<=[。!?])")
 
 
 def _keys(text: str) -> np.ndarray:
-    """The 64-bit keys of a text's words and of its neighbouring pairs."""
+    """The 64-bit keys of a text's words, of its neighbouring pairs, and of the text itself."""
     h = hash_tokens(words(text))
-    return np.concatenate([h, runs(h, 2)])
+    return np.concatenate([h, runs(h, 2), [_text_key(text)]]) if len(h) else h
+
+
+def _text_key(text: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(text, seed=1))
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def counted(rows: DataFrame) -> DataFrame:
                     group, held, n_words = g, [], 0
                 if t and len(keys := _keys(t)):
                     held.append(keys)
-                    n_words += (len(keys) + 1) // 2
+                    n_words += len(keys) // 2
         if held:
             yield flush()
 
@@ -78,65 +80,73 @@ def counted(rows: DataFrame) -> DataFrame:
     return parts.select("group", "key", F.sum("part").over(Window.partitionBy("key")).alias("n"))
 
 
-def information(h: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """PMI in bits of every neighbouring pair of a page; ``keys`` is sorted and has the page's words and pairs and ``TOTAL``."""
+def spread(s: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """The mean over up to ``reach`` neighbours on either side."""
+    sums, at = np.concatenate(([0.0], np.cumsum(s))), np.arange(len(s))
+    low, high = np.maximum(at - reach, 0), np.minimum(at + reach + 1, len(s))
+    return (sums[high] - sums[low]) / (high - low)
+
+
+def information(h: np.ndarray, copies: int, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PMI in bits of every neighbouring pair of a page by the counts of all other pages, and the pair's count in the page.
+
+    ``keys`` is sorted and has the page's words and pairs and ``TOTAL``. A page and its ``copies`` don't
+    vouch for their own pairs, and one occurrence is added to what is seen and to what is expected, so that words without
+    evidence have no information either way.
+    """
     if len(h) < 2:
-        return np.empty(0)
-    count = lambda k: counts[np.searchsorted(keys, k)].astype(float)
-    one = count(h)
-    return np.log2(count(runs(h, 2)) * count(TOTAL) / (one[:-1] * one[1:]))
+        return np.empty(0), np.empty(0, dtype=np.int64)
+    one, at_one, own_one = np.unique(h, return_inverse=True, return_counts=True)
+    two, at_two, own_two = np.unique(runs(h, 2), return_inverse=True, return_counts=True)
+    others = lambda k, own: (counts[np.searchsorted(keys, k)] - copies * own).astype(float)
+    words_seen, pairs_seen = others(one, own_one)[at_one], others(two, own_two)[at_two]
+    expected = words_seen[:-1] * words_seen[1:] / max(1, int(counts[np.searchsorted(keys, TOTAL)]) - copies * len(h))
+    return np.log2((pairs_seen + 1) / (expected + 1)), own_two[at_two]
 
 
 def judge(text: str | None, keys: np.ndarray, counts: np.ndarray) -> dict[str, float]:
-    """Word count, mean information, and the shares of listed and stuffed words."""
-    all_words = words(text)
-    n = len(all_words)
-    out = {"n": n, "pmi": 0.0, "listed": 0.0, "stuffed": 0.0, "spam": False}
+    """Word count, mean information, and the shares of words in links and tags, in word salad and in repeated collocations."""
+    h = hash_tokens(words(text))
+    n = len(h)
+    out = {"n": n, "pmi": 0.0, "links": 0.0, "salad": 0.0, "stuffed": 0.0, "spam": False}
     if not n:
         return out
-    short = n < MIN_WORDS
-    seen = Counter(all_words)
-    couples = Counter(zip(all_words, all_words[1:], strict=False))
-    hot = {c for c, k in couples.items() if k >= HOT_COUNT and k >= HOT_SHARE * n}
-    info = np.empty(0) if short else information(hash_tokens(all_words), keys, counts)
-    out["pmi"] = 0.0 if short else float(info.mean())
-    # in a short text a word may come back by chance, so a phrase has to
-    phrase = {i + j for i, c in enumerate(zip(all_words, all_words[1:], strict=False)) if short and couples[c] > 1 and c[0] != c[1] for j in (0, 1)}
-    listed = stuffed = at = loose = again = 0
+    info, own = information(h, int(counts[np.searchsorted(keys, _text_key(text))]), keys, counts)
+    near = spread(info)
+    out["pmi"] = float(info.mean()) if len(info) else 0.0
+    couples = np.concatenate((own, [0]))
+    hot = _touched((couples >= HOT_COUNT) & (couples >= HOT_SHARE * n))
+    # a short text holds too few pairs for their mean: its salad also has to repeat phrases of different words
+    phrase = _touched((couples > 1) & np.concatenate((h[1:] != h[:-1], [False]))) if n < MIN_WORDS else None
+    links = salad = stuffed = at = 0
     for line in text.split("\n"):
         for piece in _CUT.split(line):
-            ws = WORD.findall(piece.lower())
-            k = len(ws)
+            k = len(WORD.findall(piece.lower()))
             if not k:
                 continue
             start, at = at, at + k
-            linkish = sum(len(WORD.findall(x)) for x in _LINKISH.findall(piece)) + sum(len(WORD.findall(x)) for x in _TAG.findall(piece))
-            sentence = bool(_END.search(piece)) and k >= 4 and piece.count(",") + piece.count("|") < 0.34 * k and linkish < 0.5 * k
-            if not sentence:
-                if linkish >= 0.5 * k or not short and k >= 4 and float(info[start : start + k - 1].mean()) < SALAD_BITS:
-                    listed += k
-                else:
-                    loose += k
-                    again += sum(i in phrase for i in range(start, at)) if short else sum(seen[w] > 1 for w in ws)
-            elif hot:
-                covered = [False] * k
-                for i in range(k - 1):
-                    if (ws[i], ws[i + 1]) in hot:
-                        covered[i] = covered[i + 1] = True
-                if sum(covered) >= 0.5 * k:
-                    stuffed += k
-    if again > SPAM_SHARE * loose if short else again >= REPEAT_SHARE * loose:
-        listed += loose
-    out["listed"], out["stuffed"] = listed / n, stuffed / n
-    out["spam"] = listed + stuffed > SPAM_SHARE * n
+            linkish = sum(len(WORD.findall(x)) for pattern in (_LINKISH, _TAG) for x in pattern.findall(piece))
+            if linkish >= 0.5 * k:
+                links += k
+            elif 2 * hot[start:at].sum() >= k:
+                stuffed += k
+            elif not (_END.search(piece) and k >= 4 and piece.count(",") + piece.count("|") < 0.34 * k):
+                if len(near) and near[start : max(at - 1, start + 1)].mean() < SALAD_BITS if start < len(near) else len(near) and near[-1] < SALAD_BITS:
+                    salad += k if phrase is None or 2 * phrase[start:at].sum() > k else 0
+    out["links"], out["salad"], out["stuffed"] = links / n, salad / n, stuffed / n
+    out["spam"] = links + salad + stuffed > SPAM_SHARE * n
     return out
 
 
+def _touched(pairs: np.ndarray) -> np.ndarray:
+    """The words that stand in one of the marked pairs (pair i is words i and i + 1)."""
+    return pairs | np.concatenate(([False], pairs[:-1]))
+
+
 def judged(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, mean_pmi, listed_share, stuffed_share, spam): one row per row.
+    """(doc_id, n_words, mean_pmi, link_share, salad_share, stuffed_share, spam): one row per row.
 
-    Null and empty texts are never spam and have zeros, and texts under ``MIN_WORDS`` a zero mean_pmi; repeated rows are judged alike; an
-    empty table gives an empty result; other columns are left aside.
+    Null and empty texts are never spam and have zeros; repeated rows are judged alike; an empty table gives an empty result; other columns are left aside.
     """
     from ..session import materialize
 
@@ -147,10 +157,10 @@ def judged(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         keys, at = np.unique(known["key"].to_numpy().view(np.uint64), return_index=True)
         counts = known["n"].to_numpy()[at]
         got = [judge(t, keys, counts) for t in pages["text"].to_pylist()]
-        out = {"doc_id": pages["doc_id"], "n_words": [g["n"] for g in got], "mean_pmi": [g["pmi"] for g in got], "listed_share": [g["listed"] for g in got], "stuffed_share": [g["stuffed"] for g in got], "spam": [g["spam"] for g in got]}
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("mean_pmi", pa.float64()), ("listed_share", pa.float64()), ("stuffed_share", pa.float64()), ("spam", pa.bool_())]))
+        out = {"doc_id": pages["doc_id"], "n_words": [g["n"] for g in got], "mean_pmi": [g["pmi"] for g in got], "link_share": [g["links"] for g in got], "salad_share": [g["salad"] for g in got], "stuffed_share": [g["stuffed"] for g in got], "spam": [g["spam"] for g in got]}
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("mean_pmi", pa.float64()), ("link_share", pa.float64()), ("salad_share", pa.float64()), ("stuffed_share", pa.float64()), ("spam", pa.bool_())]))
 
-    return rows.groupBy("group").cogroup(counted(rows).groupBy("group")).applyInArrow(run, "doc_id long, n_words long, mean_pmi double, listed_share double, stuffed_share double, spam boolean")
+    return rows.groupBy("group").cogroup(counted(rows).groupBy("group")).applyInArrow(run, "doc_id long, n_words long, mean_pmi double, link_share double, salad_share double, stuffed_share double, spam boolean")
 
 
 def spam_pages(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

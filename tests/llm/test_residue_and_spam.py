@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from snipquarry.llm.keyword_spam import PAIR_BITS, judge, judged, spam_pages
+from snipquarry.llm.keyword_spam import _keys, judge, judged, spam_pages
 from snipquarry.llm.template_residue import examine, residue_pages
 
 PROSE = "The cache keeps pages in memory until the reader asks for them again. It writes old ones to disk when the limit is reached. "
@@ -71,7 +71,7 @@ GOOD = [
 
 
 def test_spam(spark):
-    none = np.zeros(1 << 18, np.uint32), np.zeros(1 << PAIR_BITS, np.uint32)
+    none = np.zeros(1, np.uint64), np.ones(1)
     assert judge("", *none)["spam"] is False and judge(None, *none)["n"] == 0
     d = spark.createDataFrame([*((i, t, 1) for i, t in enumerate(SPAM)), *((100 + i, t, 1) for i, t in enumerate(GOOD)), (200, None, 1), (201, "", 1), (202, " ", 1), (0, SPAM[0], 1)], "doc_id long, text string, spam int")
     assert sorted(r.doc_id for r in spam_pages(d).collect()) == [0, 0, 1, 2, 3, 4]
@@ -83,13 +83,24 @@ def test_counts_are_exact_in_a_large_vocabulary(spark):
     line = "alpha beta gamma delta epsilon zeta eta theta"
     rare = spark.range(1500).selectExpr("id + 10 as doc_id", "concat_ws(' ', transform(sequence(1, 2000), i -> concat('w', id, 'x', i))) as text")
     page = f"{line}\n" + "\n".join(f"q{i}a q{i}b q{i}c q{i}d" for i in range(20))
-    d = spark.createDataFrame([(1, page), (2, page)], "doc_id long, text string").unionByName(rare)
-    total = 2 * 88 + 1500 * 2000
+    d = spark.createDataFrame([(1, page), (2, page + " end")], "doc_id long, text string").unionByName(rare)
+    total = 88 + 89 + 1500 * 2000
     got = {r.doc_id: r for r in judged(d.repartition(4)).collect()}
-    # every word and pair of the page stands twice in all: log2(2 * total / 4)
-    assert got[1].mean_pmi == pytest.approx(np.log2(total / 2)) and got[2].mean_pmi == got[1].mean_pmi
-    assert got[10].mean_pmi == pytest.approx(np.log2(total))
-    assert got[1].listed_share == 0
+    # every word and pair of the page stands once in one other page: one and one more seen, next to none expected
+    assert got[1].mean_pmi == pytest.approx(np.log2(2 / (1 + 1 / (total - 88)))) and got[2].mean_pmi == pytest.approx(got[1].mean_pmi * 87 / 88)
+    assert got[10].mean_pmi == 0
+    assert got[1].link_share == 0
+
+
+def test_information_decides(spark):
+    # the same sentence-free lines: joined by many pages they are terms, joined by one page only they are salad
+    rng = random.Random(5)
+    phrases = [f"{a} {t}" for a in ("open", "closed", "mixed", "plain") for t in THINGS]
+    salad = "\n".join(" ".join(rng.choices([w for p in phrases for w in p.split()], k=6)) for _ in range(12))
+    terms = lambda i: "\n".join(rng.choice(phrases) + " " + rng.choice(phrases) for _ in range(12))
+    d = spark.createDataFrame([(0, salad), *((i, terms(i)) for i in range(1, 400))], "doc_id long, text string")
+    got = {r.doc_id: r.mean_pmi for r in judged(d).collect()}
+    assert got[0] < min(v for k, v in got.items() if k)
 
 
 def test_induced_slots(spark):
@@ -134,4 +145,7 @@ def test_error_pages_with_traces_and_frames(text, error):
     ],
 )
 def test_short_texts_are_judged(text, spam):
-    assert judge(text, np.zeros(1, np.uint64), np.ones(1))["spam"] is spam
+    own = _keys(text)
+    keys = np.unique(np.concatenate(([np.uint64(0)], own)))
+    counts = np.array([200] + [(own == k).sum() for k in keys[1:]])
+    assert judge(text, keys, counts)["spam"] is spam

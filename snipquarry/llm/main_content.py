@@ -1,11 +1,12 @@
 """Main content of pages: which lines are the body, which are the site's own matter.
 
-Method: what stands before the title, lines made of links only, and fixed lists of site wording decide.
-A page's lines also form a tree of blocks (zone, section, list, item, link ...); for every root-to-leaf
-path the text length and the punctuation per node are aggregated, smoothed along the page and fused, but
-this tag-path ratio only settles paragraphs made mostly of links: by itself it loses short prose or keeps
-site matter (figures in the README). Site matter after the title in wording outside the lists is kept.
-Each page is judged by itself, so nothing is shuffled.
+Method: tag-path ratios. A page's lines are the leaves of a tree of blocks; a leaf's path is its zone, block
+kind, links or text, and the shape of its wording (numbers and names masked). For every path of a site the
+text is aggregated over the pages it stands on, a text that comes back counting once, so a path's ratio is the
+part of its text that is new: near 1 for prose, a few percent for what the site repeats. Link text counts
+for nothing. Ratios are smoothed within lists and tables, fused with punctuation, and lines below the
+threshold are outside the body, as is what stands before the title. Where a site has too few pages for a
+ratio, and for lines that don't come back, fixed lists of site wording decide. Headings go with their section.
 """
 
 from __future__ import annotations
@@ -14,44 +15,52 @@ import re
 from dataclasses import dataclass
 
 import ahocorasick
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import each_batch
 
-# Wording of site matter, by kind. Matched against a line's plain, lower-case text.
-_MONTH = r"(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4}|\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4})"
+#: A path has a ratio of its own from this many pages, by title, and this share of its site's pages on.
+MIN_NODES, MIN_SHARE = 3, 0.02
+#: Lines whose smoothed and fused ratio is lower are outside the body.
+THRESHOLD = 0.75
+#: From this share of a site's pages on, a path is the site's even on a page that has nothing else; its ratio is at most this.
+SURE_SHARE, SURE_RATIO = 0.1, 0.1
+#: Paths of all sites together that are broadcast (16 bytes each); beyond that pages and paths are joined by a shuffle.
+BROADCAST_PATHS = 1_000_000
+
+# Customary wording of site matter, by kind, for lines without a ratio. Matched against a line's plain, lower-case text.
+_DAY = r"(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4}|\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4})"
 CUES = {
-    "cookie": r"\bcookies?\b(?!\s*\()|galletas|sets small files on your device|personali[sz]e adverts|privacy (?:choices|settings)|^(?:accept|decline|reject|allow|ok|got it|learn more|preferences)(?: all)?(?:\W+(?:accept|decline|reject|allow|ok|got it|learn more|preferences|all))*\W*$|^ok,? got it|consent to (?:the|our) use",
-    "script": r"unavailable while javascript|need scripts; reading|features of this site need|<noscript>",
-    "legal": r"^(?:©|\(c\)\s|copyright\b)|all rights reserved|some rights reserved|terms (?:of (?:use|service)|&|and)|privacy policy|\bimprint\b|impressum|datenschutz|do not sell my|is a trademark of|without warranty of any kind|is legal or financial advice|tous droits réservés|alle rechte vorbehalten|todos los derechos|mentions légales|aviso legal|under the terms of our .{0,40}licen[cs]e",
-    "menu": r"^(?:menu|navigation|skip to (?:main )?content|zum inhalt springen|aller au contenu|saltar al contenido|sign in|log ?in|sign up|register|start free trial|try .{1,30} free|back to top|toggle navigation|home)\W*$|^(?:sign in|log in)\b.{0,40}\bfree\W*$|^home\s*[/>›»]|\blogo$",
-    "search": r"^search (?:the )?.{0,60}(?:…|\.\.\.|documentation\W*$)|^search\W*$|^suche|^rechercher|^buscar\W*$",
-    "contents": r"^(?:on this page|in this (?:section|article)|table of contents|contents|auf dieser seite|sur cette page|en esta página|inhalt|sommaire)\W*$",
-    "share": r"share this (?:page|article|post)|(?:share|copy link|post|tweet|send by mail)(?: ?[·|] ?(?:post|tweet|send by mail|copy link|share|mail|chat)){1,}|people shared this|\bshare it\b\W*\(?\d*|tell a (?:colleague|friend) about it|teilen sie diese seite|diese seite teilen|partage[rz] cette page|comparte esta página|\d+ shares\b",
-    "feedback": r"was this (?:page|article) helpful|did this (?:page )?answer your question|rate this (?:article|page)|found this useful|war diese seite hilfreich|cette page vous a|¿te ha sido útil|[★☆]{3}|👍|👎",
-    "edit": r"^edit this page|report a problem with (?:it|this)|open a ticket with the|improve this page|^something unclear|suggest (?:an edit|changes)",
-    "signup": r"newsletter|in your inbox|join \d[\d,.]* (?:developers|readers|people|others)|enter your e-?mail|never miss a release|^subscribe\W*$|start your free trial|^start free trial|^new: .{1,60} is here\b|readers? of the .{1,30} digest",
-    "byline": r"^(?:by|author:?|written by|posted by|von|par|por) \w[\w.'’ -]{0,60}(?:\s*[|—–,·-]\s*.{0,60})?(?:\b(?:published|updated|last reviewed|posted|min(?:ute)?s? read|veröffentlicht|publié)\b|" + _MONTH + r")|^posted (?:on )?" + _MONTH + r"|\d+ min(?:ute)?s? read\W*$|last reviewed " + _MONTH,
-    "date": r"^(?:last (?:updated|modified|changed|edited|reviewed)|updated on|page (?:generated|created|last)|published(?: on)?:?|zuletzt|dernière mise à jour|última actualización|stand:)\b.{0,30}" + _MONTH + r"|^you are reading (?:the )?.{0,40}documentation of|^version \d[\d.]*\W*$|^(?:docs|documentation) (?:for|of) version",
-    "related": r"^(?:related(?: (?:articles|pages|posts|topics|reading|links))?|see also|you (?:might|may) also like|more from (?:the|our) .{1,20}|popular (?:pages|articles|posts)|recommended(?: for you| reading)?|topics|browse|in this section|further reading|siehe auch|verwandte (?:artikel|themen)|das könnte|articles liés|voir aussi|artículos relacionados|what'?s next|next steps|categories|tags|recent posts)\W*$|^(?:←|«|‹)|(?:→|»|›)\W*$|^(?:previous|next)(?: page)?: ",
+    "cookie": r"\bcookies?\b(?!\s*\()|^(?:(?:accept|decline|reject|ok|all|got it|learn more|preferences)\b\W*)+$",
+    "legal": r"^(?:©|\(c\)\s|copyright\b)|(?:all|some) rights reserved|privacy policy",
+    "menu": r"^(?:skip to (?:main )?content|back to top|home\W*$|home\s*[/>›»])",
+    "contents": r"^(?:on this page|table of contents)\W*$",
+    "share": r"share this (?:page|article|post)|\bshare it\b",
+    "feedback": r"was this (?:page|article) helpful|[★☆]{3}|👍|👎",
+    "edit": r"^edit this page",
+    "signup": r"newsletter|in your inbox",
+    "byline": r"^(?:by|author:?|written by|posted by) \w[\w.'’ -]{0,60}(?:\s*[|—–,·-]\s*.{0,60})?(?:min(?:ute)?s? read\b|" + _DAY + ")|^posted (?:on )?" + _DAY,
+    "date": r"^(?:last (?:updated|modified|changed|reviewed)|page generated|published)\b.{0,30}" + _DAY,
+    "related": r"^(?:related (?:articles|pages|posts)|see also|you (?:might|may) also like)\W*$|^(?:←|«|‹)|(?:→|»|›)\W*$",
 }
 _CUE = {k: re.compile(p) for k, p in CUES.items()}
 # Every line a pattern matches holds one of its signs; a line is tried only against those it has.
 SIGNS = {
-    "cookie": "cookie, galletas, small files, advert, privacy, accept, decline, reject, allow, ok, got it, learn more, preferences, consent",
-    "script": "javascript, scripts, features of, noscript",
-    "legal": "©, (c), copyright, reserved, terms, privacy, imprint, impressum, datenschutz, do not sell, trademark, warranty, legal, droits, rechte, derechos, mentions, aviso, licen",
-    "menu": "menu, navigation, skip to, inhalt, contenu, contenido, sign, log, register, trial, try , back to, home",
-    "search": "search, such, recherche, buscar",
-    "contents": "on this page, in this, contents, auf dieser, sur cette, en esta, inhalt, sommaire",
-    "share": "share, link, post, tweet, mail, tell a, teilen, partage, comparte",
-    "feedback": "helpful, question, rate this, useful, hilfreich, vous a, ha sido, ★, ☆, 👍, 👎",
-    "edit": "edit, problem, ticket, improve, unclear, suggest",
-    "signup": "newsletter, inbox, join , mail, never miss, subscribe, trial, is here, reader",
-    "byline": "by , author, von , par , por , posted, min read, minute, mins read, reviewed",
-    "date": "last , updated, page , published, zuletzt, dernière, última, stand:, documentation, version",
-    "related": "related, see also, also like, more from, popular, recommended, topics, browse, in this, further, siehe, verwandte, könnte, articles, voir, artículos, next, categories, tags, posts, ←, «, ‹, →, », ›, previous",
+    "cookie": "cookie, accept, decline, reject, ok",
+    "legal": "©, (c), copyright, reserved, privacy",
+    "menu": "skip to, back to, home",
+    "contents": "on this page, contents",
+    "share": "share",
+    "feedback": "helpful, ★, ☆, 👍, 👎",
+    "edit": "edit",
+    "signup": "newsletter, inbox",
+    "byline": "by , author, posted",
+    "date": "last , page , published",
+    "related": "related, see also, also like, ←, «, ‹, →, », ›",
 }
 _signs = ahocorasick.Automaton()
 for _word in sorted({w for v in SIGNS.values() for w in v.split(", ")}):
@@ -61,22 +70,26 @@ _cue_memo: dict[str, bool] = {}
 
 
 def _cued(plain: str) -> bool:
+    """Whether most of the line is in sentences with site wording; a cue in one of many sentences is the page talking about it."""
     s = plain.lower()
     got = _cue_memo.get(s)
     if got is None:
-        kinds = {k for _, ks in _signs.iter(s) for k in ks}
-        got = any(_CUE[k].search(s) for k in kinds)
+        got = _has_cue(s)
+        if got and len(parts := _SENTENCES.split(s)) > 2:
+            got = 2 * sum(len(p) for p in parts if _has_cue(p)) > len(s)
         if len(_cue_memo) > 50_000:
             _cue_memo.clear()
         _cue_memo[s] = got
     return got
 
 
-# Labels that menus of documentation sites are made of.
-LABELS = frozenset(
-    "about, about us, api, api reference, blog, books, careers, changelog, cloud, community, company, contact, contact us, demo, docs, documentation, download, downloads, enterprise, events, examples, faq, features, forum, get started, getting started, github, guide, guides, help, home, integrations, jobs, learn, news, partners, plugins, press, pricing, products, quickstart, recipes, reference, releases, resources, roadmap, security, services, showcase, solutions, status, store, support, team, tutorials, videos".split(", ")
-)
-_SEPARATOR = re.compile(r"\s*[|·•/›»>]\s*|\s{2,}")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+
+
+def _has_cue(s: str) -> bool:
+    kinds = {k for _, ks in _signs.iter(s) for k in ks}
+    return any(_CUE[k].search(s) for k in kinds)
+
 
 _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})(.*)")
 _ATX = re.compile(r"\s{0,3}(#{1,6})\s+(.*)")
@@ -95,7 +108,6 @@ class Line:
     plain: str  # text without marks, links as their texts, single spaces
     link_chars: int  # characters of it inside links
     n_links: int
-    path: str = ""
     out: bool = False
 
 
@@ -157,63 +169,94 @@ def _only_links(x: Line) -> bool:
     return rest <= 3 * (x.n_links + 1)
 
 
-def _menu_line(x: Line) -> bool:
-    return len(x.plain) < 200 and all(p in LABELS for p in _SEPARATOR.split(x.plain.lower()))
-
-
-def path_scores(lines: list[Line]) -> dict[str, float]:
-    """Fused text and punctuation ratio of every path, smoothed along the page."""
-    nodes = [x for x in lines if x.path]
-    if not nodes:
-        return {}
-    size: dict[str, list[float]] = {}
-    for x in nodes:
-        s = size.setdefault(x.path, [0.0, 0.0, 0.0])
-        s[0] += max(0, len(x.plain) - x.link_chars)
-        s[1] += len(_PUNCT.findall(x.plain)) if x.kind != "code" else 1
-        s[2] += 1
-    ratio = {p: (a / n) * (b / n + 0.01) for p, (a, b, n) in size.items()}
-    seq = [ratio[x.path] for x in nodes]
-    seq = [seq[0], *seq, seq[-1]]
-    fused: dict[str, list[float]] = {}
-    for i, x in enumerate(nodes):
-        f = fused.setdefault(x.path, [0.0, 0.0])
-        f[0] += 0.25 * seq[i] + 0.5 * seq[i + 1] + 0.25 * seq[i + 2]
-        f[1] += 1
-    return {p: (a / n * ratio[p]) ** 0.5 for p, (a, n) in fused.items()}
-
-
-def classify(text: str) -> list[Line]:
-    """The page's lines, with ``out`` set on non-blank lines outside the main body."""
+# What varies between lines of one shape, and what separates their words.
+_APART = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"[^\W_]")
+_NUMBERS = re.compile(r"\d[\d ]*")
+_NAMES = re.compile(r"(?<= )(?:[A-Z][a-z]\S* ?)+")
+
+
+#: Names are masked in lines that have no more other words than this.
+FEW_WORDS = 4
+
+
+def shapes(plain: str) -> list[str]:
+    """The line's words in lower case with numbers masked and, for lines of few other words, also with capitalised words after the first masked."""
+    s = _NUMBERS.sub("0 ", _APART.sub(" ", plain).strip() + " ")
+    masked = _NAMES.sub("◻ ", s)
+    if masked != s and len(masked.split()) - masked.count("◻") - masked.count("0 ") <= FEW_WORDS:
+        return [s.lower(), masked.lower()]
+    return [s.lower()]
+
+
+def _paths(x: Line) -> list[int]:
+    """The leaf paths that are counted over a site, as signed 64-bit numbers."""
+    kind = x.kind if x.kind in ("h", "li", "row") else "p"
+    kind += "/a/" if x.n_links and _only_links(x) else "/t/"
+    return [xxhash.xxh3_64_intdigest(kind + s) - (1 << 63) for s in shapes(x.plain)]
+
+
+def page_paths(text: str) -> tuple[int, set[int]]:
+    """(title, paths) of a page: the hash of its title, or of the page if it has none, and the leaf paths after it."""
+    lines = [x for x in parse(text) if x.kind not in ("blank", "code", "setext", "rule", "quote")]
+    title = next((x for x in lines if x.kind == "h" and x.level == 1), None)
+    name = xxhash.xxh3_64_intdigest(title.plain.lower() if title else text) - (1 << 63)
+    return name, {p for x in lines if x is not title and (title is None or x.no > title.no) for p in _paths(x)}
+
+
+def path_ratios(lines: list[Line], known: dict[int, float]) -> list[float]:
+    """Of every line, the part of its text that is new to the site and outside links, smoothed within its list or table and fused with punctuation."""
+    own = []
+    for x in lines:
+        if x.kind in ("code", "quote", "setext", "rule"):
+            own.append(1.0)
+        elif _only_links(x):
+            own.append(0.0)
+        else:
+            own.append(min(known.get(p, 1.0) for p in _paths(x)) if known else 1.0)
+    out = list(own)
+    i = 0
+    while i < len(lines):
+        j = i + 1
+        while j < len(lines) and lines[j].no == lines[j - 1].no + 1 and lines[j].kind == lines[i].kind:
+            j += 1
+        if lines[i].kind == "row" or lines[i].kind == "li" and j - i > 2:
+            weights = [len(x.plain) if _WORDS.search(x.plain) else 0.01 for x in lines[i:j]]
+            mean = sum(r * w for r, w in zip(own[i:j], weights, strict=True)) / sum(weights)
+            for k in range(i, j):
+                out[k] = max(own[k], mean) if lines[k].kind == "row" else own[k] and 0.5 * (own[k] + mean)
+        i = j
+    # running text is punctuated: for lines near the threshold each mark counts a little
+    return [r if r in (0.0, 1.0) else r * (1 + 0.02 * min(5, len(_PUNCT.findall(x.plain)))) for r, x in zip(out, lines, strict=True)]
+
+
+def classify(text: str, known: dict[int, float] | None = None) -> list[Line]:
+    """The page's lines, with ``out`` set on non-blank lines outside the main body.
+
+    ``known`` has the ratios of the site's paths that come back; without it wording decides alone.
+    """
     lines = parse(text)
     solid = [x for x in lines if x.kind != "blank"]
     if not solid:
         return lines
     title = next((x.no for x in solid if x.kind == "h" and x.level == 1), None)
-    # paths: zone / section depth / block kind / links-only or not
-    depth = 0
-    for x in solid:
-        zone = "head" if title is not None and x.no < title else "page"
-        if x.kind == "h":
-            depth = x.level
-        tail = "a" if _only_links(x) else "t"
-        x.path = f"{zone}/h{depth}/{x.kind}{x.level if x.kind == 'li' else ''}/{tail}"
-    scores = path_scores(solid)
-    spread = sorted(scores.values())
-    threshold = 0.1 * spread[len(spread) // 2] if len(spread) > 2 else 0.0
-
-    cue = [bool(x.plain) and _is_site_matter(x) and (title is None or x.no > title) and _cued(x.plain) for x in solid]
-    for i, x in enumerate(solid):
+    ratios = path_ratios(solid, known or {})
+    for x, r in zip(solid, ratios, strict=True):
         if title is not None and x.no < title:
             x.out = True
-        elif x.kind in ("code", "setext", "row"):
+        elif x.no == title or x.kind in ("code", "setext", "quote", "rule"):
             x.out = False
-        elif cue[i]:
-            x.out = True
-        elif x.kind in ("p", "li") and (_only_links(x) or x.plain and _menu_line(x)):
-            x.out = True
-        elif x.kind == "p" and x.n_links and scores[x.path] < threshold and x.link_chars > 0.6 * len(x.plain):
+        elif x.kind == "h":
+            x.out = r >= 1 and _cued(x.plain)
+        elif r < THRESHOLD:
             x.out = True
+        else:
+            x.out = x.kind != "row" and bool(x.plain) and _cued(x.plain)
+    # a page without a body: what stands on few pages of the site, such as an error message, is in the body's place
+    if known and all(x.out or x.no == title or x.kind in ("h", "setext", "rule") for x in solid):
+        for x, r in zip(solid, ratios, strict=True):
+            if x.out and SURE_RATIO < r < THRESHOLD and (title is None or x.no > title) and not _cued(x.plain):
+                x.out = False
     # a site's name alone on a line, next to site matter before any prose
     raw = text.split("\n")
     for i, x in enumerate(solid):
@@ -223,7 +266,7 @@ def classify(text: str) -> list[Line]:
             break
         if i + 1 < len(solid) and solid[i + 1].out or i and solid[i - 1].out:
             x.out = True
-    # headings go with what they head: a section with nothing but site matter is site matter
+    # headings, and labels of lists, go with what they head
     for i, x in enumerate(solid):
         head = x.kind == "h" and x.no != title
         lead = x.kind == "p" and not x.out and len(x.plain.split()) <= 6 and not _PUNCT.search(x.plain[-1:])
@@ -233,47 +276,112 @@ def classify(text: str) -> list[Line]:
         while j < len(solid) and solid[j].kind == "setext":
             j += 1
         if j < len(solid) and solid[j].kind == "li" and _only_links(solid[j]):
-            if x.no != title:
-                x.out = True
+            x.out = True
+        elif head and ratios[i] < THRESHOLD:
+            below = next((k for k in range(j, len(solid)) if solid[k].kind == "h"), len(solid))
+            x.out = j < below and all(solid[k].out for k in range(j, below))
     for i, x in enumerate(solid):
         if x.kind == "setext":
             x.out = solid[i - 1].out
     return lines
 
 
-def _is_site_matter(x: Line) -> bool:
-    """Site matter is brief; a cue inside a long paragraph is the page talking about it."""
-    return x.kind in ("h", "p", "li") and len(x.plain) <= 220
+def site_of(df: DataFrame, *ids: str) -> Column:
+    """The site a page belongs to: the first of the given ids that is set, null if none is or the table has none of them."""
+    ids = [F.col(c).cast("string") for c in ids if c in df.columns]
+    first = F.coalesce(*ids, F.lit(None).cast("string"))
+    return F.when(first.isNotNull(), F.xxhash64(first))
+
 
+def site_paths(df: DataFrame, site: Column, text: str = "markdown_content") -> DataFrame:
+    """(s, path, ratio): the paths of every site that come back on its pages, with the part of their text that is new.
 
-def outside_lines(df: DataFrame, doc: str = "doc_id", text: str = "markdown_content") -> DataFrame:
+    Pages of one title count once, so copies of a page don't make its prose a template. A site has at most
+    1 / MIN_SHARE times the mean number of lines of its pages here.
+    """
+    schema = pa.schema([("s", pa.int64()), ("path", pa.int64()), ("title", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            out = ([], [], [])
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                title, paths = page_paths(t)
+                paths.add(0)  # stands for the page
+                out[0].extend([s] * len(paths))
+                out[1].extend(paths)
+                out[2].extend([title] * len(paths))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+
+    rows = df.select(site.alias("s"), F.col(text)).where(F.col("s").isNotNull() & (F.length(text) > 0))
+    # all three columns spread the rows, and sums are taken before the second shuffle: no site and no path is hot
+    seen = rows.mapInArrow(run, "s long, path long, title long").distinct()
+    nodes = seen.groupBy("s", "path").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_NODES) | (F.col("path") == 0))
+    nodes = materialize(nodes, "site-paths")
+    pages = nodes.where("path = 0").select("s", F.col("n").alias("pages"))
+    least = F.greatest(F.lit(MIN_NODES - 1.0), F.col("pages") * MIN_SHARE)
+    ratio = F.when(F.col("n") >= F.col("pages") * SURE_SHARE, F.least(least / F.col("n"), F.lit(SURE_RATIO))).otherwise(least / F.col("n"))
+    return nodes.where("path <> 0").join(pages, "s").where(F.col("n") > least).select("s", "path", ratio.alias("ratio"))
+
+
+def by_page(df: DataFrame, site: Column, doc: str = "doc_id", text: str = "markdown_content") -> DataFrame:
+    """(doc_id, body, s, paths, ratios): every row with what is known of its site; both lists are null for a site with nothing to tell."""
+    found = materialize(site_paths(df, site, text), "site-ratios")
+    small = found.count() <= BROADCAST_PATHS
+    sites = found.groupBy("s").agg(F.collect_list("path").alias("paths"), F.collect_list(F.col("ratio").cast("float")).alias("ratios"))  # bounded, see site_paths
+    rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("body"), site.alias("s"))
+    return rows.join(F.broadcast(sites) if small else sites, "s", "left")
+
+
+class Known:
+    """The paths of the site of the page at hand, kept while rows of one site follow each other."""
+
+    def __init__(self):
+        self.cache: dict[int | None, dict[int, float]] = {}
+
+    def of(self, s: int | None, paths: list[int] | None, ratios: list[float] | None) -> dict[int, float]:
+        if not paths:
+            return {}
+        got = self.cache.get(s)
+        if got is None:
+            if len(self.cache) > 200:
+                self.cache.clear()
+            got = self.cache[s] = dict(zip(paths, ratios, strict=True))
+        return got
+
+
+def outside_lines(df: DataFrame, doc: str = "doc_id", text: str = "markdown_content", site: tuple[str, ...] = ("crawl_job_id", "upload_job_id")) -> DataFrame:
     """(doc_id, line_no) of the non-blank lines outside the main body, numbered from 0 at line feeds.
 
-    Null and empty texts give nothing; repeated rows give repeated lines; other columns are left aside.
+    ``site`` names the columns of which the first that is set tells the page's site; pages without one are
+    judged by wording. Null and empty texts give nothing; repeated rows give repeated lines; an empty table
+    gives an empty result; other columns are left aside.
     """
+    known = Known()
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         ids, nos = [], []
-        for i, t in zip(cols["doc_id"], cols["body"], strict=True):
-            got = [x.no for x in classify(t) if x.out]
+        for i, t, *about in zip(cols["doc_id"], cols["body"], cols["s"], cols["paths"], cols["ratios"], strict=True):
+            got = [x.no for x in classify(t, known.of(*about)) if x.out]
             ids += [i] * len(got)
             nos += got
         return {"doc_id": ids, "line_no": nos}
 
-    rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("body")).where(F.length(F.col(text)) > 0)
+    rows = by_page(df, site_of(df, *site), doc, text).where(F.length("body") > 0).select("doc_id", "body", "s", "paths", "ratios")
     return each_batch(rows, "doc_id long, line_no int", run)
 
 
-def main_body(text: str) -> str:
+def main_body(text: str, known: dict[int, float] | None = None) -> str:
     """The page without its site matter."""
-    gone = {x.no for x in classify(text) if x.out}
+    gone = {x.no for x in classify(text, known) if x.out}
     return "\n".join(s for no, s in enumerate(text.split("\n")) if no not in gone).strip("\n")
 
 
-def main_bodies(df: DataFrame, doc: str = "doc_id", text: str = "markdown_content") -> DataFrame:
+def main_bodies(df: DataFrame, doc: str = "doc_id", text: str = "markdown_content", site: tuple[str, ...] = ("crawl_job_id", "upload_job_id")) -> DataFrame:
     """(doc_id, body): one row per row; a null text gives a null body."""
+    known = Known()
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": cols["doc_id"], "body": [None if t is None else main_body(t) for t in cols["body"]]}
+        pages = zip(cols["body"], cols["s"], cols["paths"], cols["ratios"], strict=True)
+        return {"doc_id": cols["doc_id"], "body": [None if t is None else main_body(t, known.of(*about)) for t, *about in pages]}
 
-    return each_batch(df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("body")), "doc_id long, body string", run)
+    return each_batch(by_page(df, site_of(df, *site), doc, text).select("doc_id", "body", "s", "paths", "ratios"), "doc_id long, body string", run)

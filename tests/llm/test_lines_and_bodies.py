@@ -71,3 +71,22 @@ def test_body_cases(spark):
     assert bodies[2] is None and bodies[3] == "" and len(bodies[5]) == 1_000_000
     assert outside_lines(d.limit(0)).count() == 0
     assert [x.no for x in classify("```\n© 2020\n```")] == [0, 1, 2]
+
+
+def test_path_ratios_decide(spark):
+    """Site matter in wording that no list has, named by its ratio over the site; prose, tables and copies stay."""
+    prose = ["The reader keeps every page in memory.", "A socket closes once its owner is gone.", "Old entries move to disk at night.", "Writers wait for the planner to end."]
+    foot = "Quokkas {0} and friends look after these leaves with much love and patience"
+    page = lambda i: f"# Page {i}\n\n{prose[i % 4]} It has number {i} and the word w{chr(97 + i)}x.\n\n| Key | Use |\n|---|---|\n| k{chr(97 + i)} | {prose[(i + 1) % 4]} w{chr(97 + i)}y |\n\n{foot.format(i)}"
+    copied = "# Copied\n\nThis very sentence stands on many copies of one page.\n\nMore of it."
+    rows_ = [(i, page(i), "a", None) for i in range(20)] + [(50 + i, copied, "a", None) for i in range(9)] + [(90, foot.format(1), None, None), (91, page(3), "lone", None)]
+    d = spark.createDataFrame(rows_, "doc_id long, markdown_content string, crawl_job_id string, upload_job_id string")
+    assert rows(outside_lines(d)) == [(i, 8) for i in range(20)]
+    hot = d.unionByName(spark.range(1000, 4000).selectExpr("id as doc_id", f"concat('# T', id, '\n\n{prose[0]} ', uuid(), '\n\nQuokkas 1 and friends look after these leaves with much love and patience') as markdown_content", "'b' as crawl_job_id", "cast(null as string) as upload_job_id"))
+    assert outside_lines(hot).where("doc_id >= 1000").count() == 3000
+
+
+def test_cues_of_any_length():
+    legal = "Copyright 2020 by Example. " + "All rights reserved in every country of the world and beyond it. " * 9
+    talk = "The parser reads cookies. " + "It keeps what it has read until the request ends. " * 9
+    assert [x.no for x in classify(f"# T\n\n{talk}\n\n{legal}") if x.out] == [4]

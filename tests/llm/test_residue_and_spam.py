@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snipquarry.llm.keyword_spam import _keys, judge, judged, spam_pages
 from snipquarry.llm.template_residue import examine, residue_pages
@@ -29,19 +30,20 @@ PROSE = "The cache keeps pages in memory until the reader asks for them again. I
 )
 def test_examine(text, residue, error):
     got = examine(text)
-    assert (got[0], got[1]) == (residue, error)
+    assert (got.residue or bool(got.gaps), got.error) == (residue, error)
 
 
 def test_residue_table(spark):
     bad = "# T\n\n{{ x }}"
-    d = spark.createDataFrame([(1, bad, "k"), (1, bad, "k"), (2, None, "k"), (3, "", "k"), (4, PROSE * 2000, None)], "doc_id long, markdown_content string, kind string")
-    assert [r.doc_id for r in residue_pages(d).collect()] == [1]
+    d = spark.createDataFrame([(1, bad, "k"), (1, bad, "k"), (2, None, "k"), (3, "", "k"), (4, PROSE * 2000, None), (5, "# T\n\nDear {{ y }}", "k"), (6, "# T\n\nDear [[NAME]]", "k")], "doc_id long, markdown_content string, kind string").selectExpr("*", "kind as crawl_job_id", "null as upload_job_id")
+    # the form of 6 stands with one name only: nothing to align it with, no slot
+    assert sorted(r.doc_id for r in residue_pages(d).collect()) == [1, 5]
     assert residue_pages(d.limit(0)).count() == 0
 
 
 def test_repeated_weak_template(spark):
     weak = lambda i: (i, f"# Hm\n\nedge node {i}abc12\n\nReturn home")
-    d = spark.createDataFrame([weak(i) for i in range(4)] + [(9, "# Hm\n\nReturn home soon to a gone world")], "doc_id long, markdown_content string")
+    d = spark.createDataFrame([weak(i) for i in range(4)] + [(9, "# Hm\n\nReturn home soon to a gone world")], "doc_id long, markdown_content string").selectExpr("*", "'j' as crawl_job_id", "null as upload_job_id")
     assert {r.doc_id for r in residue_pages(d).collect()} == {0, 1, 2, 3}
 
 
@@ -109,12 +111,23 @@ def test_induced_slots(spark):
 
     pages = [page(1, "Ann Lee", "reader"), page(2, "Bo Kim", "guest"), page(3, "", "reader"), page(4, "Cy Orr", "[[first_name]]"), page(5, "Di Poe", "%name%"), page(6, "Ed Roe", "")]
     pages.append((7, "# T7\n\nThe following holds:\n\n- Ann Lee\n\nWrite [optional] words."))
-    d = spark.createDataFrame(pages, "doc_id long, markdown_content string")
+    d = spark.createDataFrame(pages, "doc_id long, markdown_content string").selectExpr("*", "'j' as crawl_job_id", "null as upload_job_id")
     assert sorted(tuple(r) for r in residue_pages(d).collect()) == [(i, "residue") for i in (3, 4, 5, 6)]
     # nothing to align with: no slot
     assert residue_pages(d.where("doc_id in (3, 4)")).count() == 0
 
 
+def test_whole_page_templates(spark):
+    stub = lambda i, n: (i, f"# Field {n}\n\nReturns the value of {n} in the table.")
+    gone = lambda i, t: (i, f"# {t}\n\nWe retired /how-to/part-{i} some time ago.\n\nRequest id: {i}abc12f0")
+    pages = [stub(1, "Alpha"), stub(2, "Beta"), stub(3, "Gamma"), gone(4, "Gone"), gone(5, "The cache"), gone(6, "A reader"), (7, "# Notes\n\nWe retired the old cache some time ago and nobody missed it.")]
+    pages += [(100 + i, f"# Part {i}\n\n{PROSE}It has part w{chr(97 + i % 26)}{chr(97 + i // 26)}x.\n\nRead by {i} friends of the library of leaves today") for i in range(50)]
+    d = spark.createDataFrame(pages, "doc_id long, markdown_content string").selectExpr("*", "'j' as crawl_job_id", "null as upload_job_id")
+    # stubs are templates too, but not of error pages; copies of one error page are no template
+    assert sorted(r.doc_id for r in residue_pages(d).collect()) == [4, 5, 6]
+    assert residue_pages(d.where("doc_id = 4").unionByName(d.where("doc_id = 4").withColumn("doc_id", F.lit(8).cast("long")))).count() == 0
+
+
 TRACE = "\n".join(f'  File "/srv/app/part{i}.py", line {i}, in run_part\n    return handlers[{i}](request, context)' for i in range(1, 30))
 
 
@@ -130,7 +143,7 @@ TRACE = "\n".join(f'  File "/srv/app/part{i}.py", line {i}, in run_part\n    ret
     ],
 )
 def test_error_pages_with_traces_and_frames(text, error):
-    assert examine(text)[1] is error
+    assert examine(text).error is error
 
 
 @pytest.mark.parametrize(

@@ -1,37 +1,40 @@
 """Deduplicating new batches against all history, without working through the history anew.
 
-Method: every accepted page leaves hashes in tables bucketed by hash: exact keys (normalised address,
-content hash, text) and paragraph and passage hashes with their holders. A new batch brings only its own hashes; bucket-local joins find full copies and pages
-that share a paragraph or passage, an exact Jaccard test settles the latter, and the batch's hashes
-are appended. Paragraphs alone would miss pages edited in every paragraph, so passages are hashed too:
-winnowed runs of eight words. Two texts over the threshold share s runs of five words and differ in at
-most 0.43 s; a break between shared stretches costs at least eight, so some stretch holds 13 runs, that is
-17 words, and winnowing marks every shared stretch of 17 words alike in both. Passages that very many
-texts hold are compared with their first holders; what stays open is joined on rarest-first run prefixes.
+Method: every accepted page leaves hashes in tables bucketed by hash: exact keys (normalised address, content
+hash, text), paragraph hashes with their words, and passage hashes, with their holders. A new batch brings only
+its own hashes; bucket-local joins find full copies, shared-paragraph coverage and shared passages, an exact
+Jaccard test settles the pairs, and the batch's hashes are appended. Paragraphs alone would miss pages edited
+in every paragraph, so passages are hashed too: winnowed runs of eight words. Two texts over the threshold
+share s runs of five words and differ in at most 0.43 s; a break between shared stretches costs at least
+eight, so some stretch holds 13 runs, that is 17 words, and winnowing marks every shared stretch of 17 words
+alike in both. That argument counts distinct runs, so texts that repeat theirs also go the second way, as do
+texts with a passage that more than sixteen texts of a batch hold: an exact join on rarest-first run prefixes.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .common import count_sketch, hash_tokens, runs, words
-from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
+from .common import SKETCH_BITS, count_sketch, hash_tokens, runs, words
+from .sets import SIMILARITY_TENTHS, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
 
 RUN = 5
 MIN_WORDS = 50
 #: Words of a passage, and passages among which the least hash is kept.
 PASSAGE, WINDOW = 8, 10
-#: Holders of one mark that are compared at once; those beyond follow in a second round.
+#: Holders of one mark that a batch keeps (the least key of each of as many parts); texts beyond post prefixes too.
 FIRST_HOLDERS = 16
+#: A text with fewer distinct five-word runs than this part of its runs repeats itself.
+REPEATS = 0.8
 
 #: Counters of the sketch that orders passages: 4 MiB, whatever the data.
 ORDER_BITS = 20
@@ -104,10 +107,12 @@ def _h(s: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s)).astype(np.int64))
 
 
+_LONGS = pa.list_(pa.field("element", pa.int64()))
+_INTS = pa.list_(pa.field("element", pa.int32()))
 _PAGE = pa.schema(
-    [("doc_id", pa.int64()), ("batch_no", pa.int32()), ("exact", pa.list_(pa.field("element", pa.int64()))), ("key", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.field("element", pa.int32()))), ("marks", pa.list_(pa.field("element", pa.int64()))), ("sketch", pa.list_(pa.field("element", pa.int64())))]
+    [("doc_id", pa.int64()), ("batch_no", pa.int32()), ("exact", _LONGS), ("key", pa.int64()), ("n", pa.int32()), ("words", pa.int32()), ("repeats", pa.bool_()), ("grams", _INTS), ("marks", _LONGS), ("paragraphs", _LONGS), ("weights", _INTS), ("sketch", _LONGS)]
 )
-_PAGE_DDL = "doc_id long, batch_no int, exact array<bigint>, key long, n int, grams array<int>, marks array<bigint>, sketch array<bigint>"
+_PAGE_DDL = "doc_id long, batch_no int, exact array<bigint>, key long, n int, words int, repeats boolean, grams array<int>, marks array<bigint>, paragraphs array<bigint>, weights array<int>, sketch array<bigint>"
 #: Bits of a page's parity sketch; see ``parity``.
 BITS = 1024
 
@@ -127,158 +132,177 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            exact, keys, sizes, grams, marks, sketches = [], [], [], [], [], []
+            out: dict[str, list] = {f.name: [] for f in list(_PAGE)[2:]}
             for u, c, t in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 own = []
                 if (a := address(u)) is not None:
                     own.append(_h("a:" + a))
                 if c and c.strip():
                     own.append(_h("c:" + c.strip().lower()))
-                exact.append(own)
-                parts = [w for p in t.split("\n") if (w := words(p))] if t else []
-                if sum(map(len, parts)) < MIN_WORDS:
-                    keys.append(None)
-                    sizes.append(None)
-                    grams.append(None)
-                    marks.append([])
-                    sketches.append(None)
+                out["exact"].append(own)
+                parts = [hash_tokens(w) for p in t.split("\n") if (w := words(p))] if t else []
+                n_words = sum(map(len, parts))
+                if n_words < MIN_WORDS:
+                    for name, column in out.items():
+                        if name != "exact":
+                            column.append([] if name in ("marks", "paragraphs", "weights") else None)
                     continue
-                hashes = [hash_tokens(w) for w in parts]
-                whole = np.concatenate(hashes)
+                whole = np.concatenate(parts)
                 g = to_grams(runs(whole, RUN))
-                keys.append(set_key(g))
-                sizes.append(len(g))
-                sketches.append(parity(g))
-                grams.append(g)
-                # shorter paragraphs say little, and recur as headings and notes
-                paragraphs = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in hashes if len(x) >= PASSAGE + WINDOW], dtype=np.uint64)
-                marks.append(np.unique(np.concatenate((winnow(whole, order), paragraphs))).view(np.int64))
+                held = dict(sorted((xxhash.xxh3_64_intdigest(x.tobytes()), len(x)) for x in parts))
+                found = (set_key(g), len(g), n_words, len(g) < REPEATS * (n_words - RUN + 1), g, winnow(whole, order).view(np.int64), np.array(list(held), dtype=np.uint64).view(np.int64), list(held.values()), parity(g))
+                for name, value in zip(("key", "n", "words", "repeats", "grams", "marks", "paragraphs", "weights", "sketch"), found, strict=True):
+                    out[name].append(value)
             columns = [b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32())]
-            columns += [pa.array(x, type=f.type) for x, f in zip((exact, keys, sizes, grams, marks, sketches), list(_PAGE)[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_PAGE)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(out[f.name], type=f.type) for f in list(_PAGE)[2:]], schema=_PAGE)
 
     rows = df.select(F.col(doc), F.coalesce(F.col(batch), F.lit(0)), F.col(url), F.col(content_hash), F.col(text))
     return rows.mapInArrow(run, _PAGE_DDL)
 
 
+#: Tables of a history: columns, and what they are bucketed by.
+_TABLES = {
+    "keys": ("k bigint", "k"),
+    "posts": ("h bigint, key bigint, w int", "h"),
+    "crowded": ("h bigint", "h"),
+    "prefixes": ("h int, key bigint", "h"),
+    "texts": ("key bigint, batch_no int, doc_id bigint, n int, words int, sketch array<bigint>, grams array<int>", "key"),
+}
+
+
 class History:
-    """The bucketed hash tables of all accepted pages.
+    """The bucketed hash tables of all accepted pages, in one folder that can be opened again.
 
-    ``keys`` holds every exact key once. ``posts`` holds marks (h) of texts by key, with the batch that
-    brought them and the text's place among the mark's holders in that batch; both are bucketed by what
-    they are joined on, so appending shuffles the batch only and joining shuffles nothing of the history.
+    ``keys`` holds every exact key once. ``posts`` holds paragraphs (w words) with one holder and passages
+    (w null) with up to FIRST_HOLDERS holders of each batch; ``crowded`` the passages that had more, and ``prefixes`` the run
+    prefixes of the texts that hold these. ``texts`` holds every distinct text once, under the page that first
+    had it. All are bucketed by what they are joined on, so appending shuffles the batch only and joining
+    shuffles nothing of the history. ``add`` isn't atomic: after a failed one the folder's copy has to be used.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, tenths: int = SIMILARITY_TENTHS):
-        self.spark, self.tenths = spark, tenths
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = "history_" + uuid.uuid4().hex
-        self._known: set[str] = set()
-        self._asked: list[tuple[int, DataFrame]] = []
-
-    def _append(self, table: str, df: DataFrame, by: str) -> None:
-        """``df`` is partitioned by ``by`` into one task per bucket, so that an append adds one file to each."""
-        out = df.write.format("parquet").option("compression", "zstd").mode("append").bucketBy(self.buckets, by)
-        if table not in self._known:
-            out = out.option("path", scratch_path(self.spark, table))
-        out.saveAsTable(f"{self.name}_{table}")
-        self._known.add(table)
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, tenths: int = SIMILARITY_TENTHS):
+        self.spark, self.path = spark, path or scratch_path(spark, "history")
+        self.name = "history_" + xxhash.xxh3_64_hexdigest(self.path)
+        try:
+            about = spark.read.parquet(f"{self.path}/about").first()
+        except AnalysisException:
+            about = None
+        if about is None:
+            self.buckets, self.tenths, self.order, self.rarity = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), tenths, None, None
+        else:
+            self.buckets, self.tenths = about["buckets"], about["tenths"]
+            self.order, self.rarity = (np.frombuffer(about[c], dtype=np.uint32) for c in ("passages", "runs"))
+        for table, (columns, by) in _TABLES.items():
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+
+    def close(self) -> None:
+        """Forget the tables' names; the folder stays."""
+        for table in _TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+
+    def start(self, df: DataFrame, **columns: str) -> None:
+        """Fix the orders of passages and runs by a first set of pages, and store them; no order changes a result."""
+        text = columns.get("text", "text")
+        self.order = passage_order(df, text)
+
+        def slots(b: pa.RecordBatch) -> np.ndarray:
+            found = [runs(hash_tokens(words(t)), RUN) >> np.uint64(64 - SKETCH_BITS) for t in b.column(0).to_pylist() if t]
+            return np.concatenate(found).astype(np.int64) if found else np.empty(0, dtype=np.int64)
+
+        self.rarity = count_sketch(df.select(text), slots)
+        about = [(self.buckets, self.tenths, bytearray(self.order.tobytes()), bytearray(self.rarity.tobytes()))]
+        self.spark.createDataFrame(about, "buckets int, tenths int, passages binary, runs binary").coalesce(1).write.parquet(f"{self.path}/about")
+
+    def hashes(self, df: DataFrame, **columns: str) -> DataFrame:
+        """The hash rows of pages, stored: what ``add`` takes."""
+        return materialize(page_hashes(df, **columns, order=self.order), "pages")
+
+    def _append(self, table: str, df: DataFrame) -> None:
+        """One task and so one file per bucket."""
+        columns, by = _TABLES[table]
+        df.repartition(self.buckets, by).select([c.split()[0] for c in columns.split(", ")]).write.mode("append").insertInto(f"{self.name}_{table}")
 
     def _table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
-    def add(self, pages: DataFrame, batch: int, check: bool = True) -> tuple[DataFrame, DataFrame] | None:
-        """Append one batch and hold it against what was added before or stands earlier in it.
-
-        ``pages`` are materialised rows of ``page_hashes``. Gives the full copies (doc_id) and the pairs of
-        text keys (mine, key) that share a mark; ``alike`` settles the latter, for one batch or for several.
+    def add(self, pages: DataFrame, check: bool = True) -> DataFrame | None:
+        """Append pages of ``hashes`` and hold them against what was added before or stands earlier among them
+        (by batch number, then id). Gives (doc_id, reason, coverage) of those that bring nothing new, see
+        ``new_batch_duplicates``.
         """
+        at = F.struct("batch_no", "doc_id")
         # exact keys: a batch's copies are counted before they meet the history, so no key is hot
-        keys = pages.select("doc_id", F.explode("exact").alias("k")).unionByName(pages.where("key is not null").select("doc_id", F.col("key").alias("k")))
-        firsts = keys.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
-        if self._known:
-            held = firsts.join(self._table("keys").withColumn("old", F.lit(True)), "k", "left").withColumn("old", F.coalesce("old", F.lit(False)))
-        else:
-            held = firsts.withColumn("old", F.lit(False))
+        keys = pages.select("doc_id", at.alias("at"), F.explode("exact").alias("k")).unionByName(pages.where("key is not null").select("doc_id", at.alias("at"), F.col("key").alias("k")))
+        firsts = keys.groupBy("k").agg(F.min("at").alias("first"), F.count("*").alias("m"))
+        held = firsts.join(self._table("keys").withColumn("old", F.lit(True)), "k", "left").withColumn("old", F.coalesce("old", F.lit(False)))
         held = materialize(held, "firsts")
-        self._append("keys", held.where("not old").select("k").repartition(self.buckets, "k"), "k")
+        self._append("keys", held.where("not old"))
         # known keys: held before, or more than once in this batch
-        copies = materialize(keys.join(held.where("old or m > 1"), "k").where("old or doc_id > first").select("doc_id", "k"), "copies")
+        copies = materialize(keys.join(held.where("old or m > 1"), "k").where("old or at > first").select("doc_id", "k").distinct(), "copies")
         # only the first page of each text posts its marks: whatever is like a copy is like the original
-        firsts = pages.where("key is not null").select("doc_id", "key", "marks").join(copies.withColumnRenamed("k", "key"), ["doc_id", "key"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("h").orderBy("key"))
-        posts = firsts.select("key", F.explode("marks").alias("h")).repartition(self.buckets, "h").withColumn("r", place)
-        self._append("posts", posts.withColumn("b", F.lit(batch)), "h")
+        texts = pages.where("key is not null").join(copies.withColumnRenamed("k", "key"), ["doc_id", "key"], "left_anti")
+        texts = materialize(texts.drop("exact"), "texts")
+        self._append("texts", texts)
+        marks = texts.select("key", F.explode("marks").alias("h"), F.lit(None).cast("int").alias("w"))
+        paragraphs = texts.select("key", F.inline(F.arrays_zip(F.col("paragraphs").alias("h"), F.col("weights").alias("w"))))
+        # of a paragraph the least holder is kept: common ones only add to a pair's coverage
+        part = F.when(F.col("w").isNull(), F.pmod(F.xxhash64("key"), F.lit(FIRST_HOLDERS))).otherwise(F.lit(-1)).alias("part")
+        heads = marks.unionByName(paragraphs).groupBy("h", part).agg(F.min("key").alias("key"), F.count("*").alias("m"), F.max("w").alias("w"))
+        heads = materialize(heads, "heads")
+        self._append("posts", heads)
+        full = materialize(heads.where("m > 1 and w is null").select("h").distinct(), "crowded")
+        self._append("crowded", full)
+        crowd = marks.join(full, "h", "left_semi").select("key").unionByName(texts.where("repeats").select("key")).distinct()
+        self._append("prefixes", self._prefixes(texts.join(crowd, "key", "left_semi")))
         if not check:
             return None
-        copies = copies.select("doc_id").distinct()
-        open_ = firsts.select("doc_id", F.col("key").alias("mine")).join(copies, "doc_id", "left_anti").select("mine")
-        self._asked.append((batch, open_))
-        return copies, self._pairs(batch, open_, F.col("r") <= FIRST_HOLDERS)
-
-    def _pairs(self, batch: int, open_: DataFrame, holders) -> DataFrame:
-        """Pairs of an open text and a holder of one of its marks; the table meets itself bucket by bucket."""
-        mine = self._table("posts").where(F.col("b") == batch).select("h", F.col("key").alias("mine")).join(open_, "mine", "left_semi")
-        theirs = self._table("posts").where((F.col("b") <= batch) & holders).select("h", "key")
-        return materialize(mine.join(theirs, "h").where("mine <> key").select("mine", "key").distinct(), "pairs")
-
-    def alike(self, pairs: DataFrame, pages: DataFrame) -> DataFrame:
-        """(doc_id) of the pages alike to an earlier page, among pairs that ``add`` gave; ``pages`` are all so far."""
-        near = self._settle(pairs, pages)
-        often = self._table("posts").where(F.col("r") > FIRST_HOLDERS).select("h").distinct()
-        if often.isEmpty():
-            return near.select("doc_id")
-        # texts with a mark of many holders: those still open meet the others on rarest-first run prefixes,
-        # which no common passage enters unless it makes up most of a text
-        near, often = materialize(near, "near"), materialize(often, "often")
-        held = materialize(self._table("posts").join(often, "h", "left_semi").select("key").distinct(), "held")
-        texts = pages.where("key is not null").select("key", "grams").join(held, "key", "left_semi")
-        prefixes = materialize(prefix_postings(texts, sketch_of(texts), ["key"], self.tenths, once_per="key").distinct(), "prefixes")
-        open_ = None
-        for _, o in self._asked:
-            open_ = o if open_ is None else open_.unionByName(o)
-        rest = open_.join(near.select(F.col("key").alias("mine")), "mine", "left_anti")
-        mine = prefixes.withColumnRenamed("key", "mine").join(rest, "mine", "left_semi")
-        more = materialize(mine.join(prefixes, "h").where("mine <> key").select("mine", "key").distinct(), "pairs")
-        return near.select("doc_id").unionByName(self._settle(more, pages).select("doc_id")).distinct()
-
-    def _settle(self, pairs: DataFrame, pages: DataFrame) -> DataFrame:
-        """Pairs that pass the bounds on size, order and parity sketch, then the exact test. A text stands for
-        the earliest page that has it."""
-        heads = pages.where("key is not null").groupBy("key").agg(F.min(F.struct("batch_no", "doc_id")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        own = heads.select(F.col("key").alias("mine"), F.col("at").alias("my_at"), F.col("n").alias("my_n"), F.col("sketch").alias("my_sketch"))
+        found = copies.select("doc_id").distinct().select("doc_id", F.lit("copy").alias("reason"), F.lit(1.0).alias("coverage"))
+        open_ = texts.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+        mine = open_.select("key", F.explode("marks").alias("h")).unionByName(open_.select("key", F.explode("paragraphs").alias("h"))).withColumnRenamed("key", "mine")
+        pairs = mine.join(self._table("posts"), "h").where("mine <> key").groupBy("mine", "key").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("shared"))
+        near = materialize(self._settle(materialize(pairs, "pairs")), "near")
+        # the second way: prefixes of texts that repeat themselves or hold a passage that was crowded at some time
+        asks = open_.join(near.select("doc_id"), "doc_id", "left_anti")
+        crowded = asks.select("key", F.explode("marks").alias("h")).join(self._table("crowded"), "h", "left_semi").select("key")
+        asks = asks.join(crowded.unionByName(asks.where("repeats").select("key")).distinct(), "key", "left_semi")
+        more = self._prefixes(asks).withColumnRenamed("key", "mine").join(self._table("prefixes"), "h").where("mine <> key").select("mine", "key").distinct()
+        late = self._settle(materialize(more.withColumn("shared", F.lit(0).cast("long")), "pairs"))
+        near = near.unionByName(late).groupBy("doc_id").agg(F.max("coverage").alias("coverage"))
+        return found.unionByName(near.select("doc_id", F.lit("near").alias("reason"), "coverage"))
+
+    def _prefixes(self, texts: DataFrame) -> DataFrame:
+        return prefix_postings(texts.select("key", "grams"), self.rarity, ["key"], self.tenths)
+
+    def _settle(self, pairs: DataFrame) -> DataFrame:
+        """(doc_id, coverage) of the texts in ``mine`` with an earlier text alike: pairs pass the bounds on size, order
+        and parity sketch, then the exact test. Coverage is the part of the words in paragraphs that this text is the holder of."""
+        about = self._table("texts").select("key", F.struct("batch_no", "doc_id").alias("at"), "n", "words", "sketch")
+        own = about.select(F.col("key").alias("mine"), F.col("at").alias("my_at"), F.col("n").alias("my_n"), F.col("words").alias("my_words"), F.col("sketch").alias("my_sketch"))
         differ = F.aggregate(F.zip_with("sketch", "my_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
         t = self.tenths
-        both = pairs.join(heads, "key").join(own, "mine").where((F.col("at") < F.col("my_at")) & sizes_allow(F.col("n"), F.col("my_n"), t) & (differ * (10 + t) <= (F.col("n") + F.col("my_n")) * (10 - t)))
-        left = materialize(both.select("mine", "key", F.col("my_at.doc_id").alias("doc_id")), "open")
+        both = pairs.join(about, "key").join(own, "mine").where((F.col("at") < F.col("my_at")) & sizes_allow(F.col("n"), F.col("my_n"), t) & (differ * (10 + t) <= (F.col("n") + F.col("my_n")) * (10 - t)))
+        left = materialize(both.select("mine", "key", F.col("my_at.doc_id").alias("doc_id"), F.least(F.col("shared") / F.col("my_words"), F.lit(1.0)).alias("coverage")), "open")
         named = materialize(left.select(F.explode(F.array("mine", "key")).alias("key")).distinct(), "named")
-        sets = keep_keys(pages.where("key is not null").select("key", "grams"), named).join(named, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+        sets = materialize(self._table("texts").select("key", "grams").join(named, "key", "left_semi"), "sets")
         tested = left.join(sets.withColumnRenamed("grams", "g"), "key").join(sets.withColumnRenamed("key", "mine"), "mine").where(similar("g", "grams", t))
-        return tested.select("doc_id", F.col("mine").alias("key")).distinct()
+        return tested.groupBy("doc_id").agg(F.max("coverage").alias("coverage"))
 
 
 def new_batch_duplicates(df: DataFrame, history_batch: int = 0, **columns: str) -> DataFrame:
-    """(doc_id, reason): pages of batches after ``history_batch`` for which an earlier page has the same
-    address, the same content hash, or a text alike (five-word runs, Jaccard of at least 0.7).
+    """(doc_id, reason, coverage): pages of batches after ``history_batch`` for which an earlier page has the same
+    address, the same content hash, or a text alike (five-word runs, Jaccard of at least 0.7). A page may come
+    with both reasons; coverage is the part of its words in paragraphs that are kept for the text that is alike, 1 for copies.
 
     Null or blank addresses and hashes equal nothing; null, empty and short texts are alike to nothing; a
     null batch number counts as history; of repeated rows with one doc_id none is earlier than the other;
     an empty table gives an empty result; other columns are left aside.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "pages")
-    past = df.where(F.coalesce(F.col(columns.get("batch", "batch_no")), F.lit(0)) <= history_batch)
-    order = passage_order(past, columns.get("text", "text"))
-    page_hashes(df, **columns, order=order).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
-    pages = spark.read.schema(_PAGE_DDL).parquet(path)
-    batches = sorted(r["batch_no"] for r in pages.select("batch_no").distinct().collect())  # one row per batch
-    history = History(spark)
-    copies = spark.createDataFrame([], "doc_id long")
-    pairs = spark.createDataFrame([], "mine long, key long")
-    for b in batches:
-        got = history.add(pages.where(F.col("batch_no") == b), b, check=b > history_batch)
-        if got is not None:
-            copies, pairs = copies.unionByName(got[0]), pairs.unionByName(got[1])
-    if not batches or batches[-1] <= history_batch:
-        return copies.select("doc_id", F.lit("copy").alias("reason"))
-    return copies.select("doc_id", F.lit("copy").alias("reason")).unionByName(history.alike(pairs, pages).select("doc_id", F.lit("near").alias("reason"))).distinct()
+    batch = F.coalesce(F.col(columns.get("batch", "batch_no")), F.lit(0))
+    history = History(df.sparkSession)
+    past = df.where(batch <= history_batch)
+    history.start(past, **columns)
+    history.add(history.hashes(past, **columns), check=False)
+    # the later batches come in one step: what is earlier among them goes by batch number and id
+    found = materialize(history.add(history.hashes(df.where(batch > history_batch), **columns)), "duplicates")
+    history.close()
+    return found

@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Counters in a sketch: 2**18 counters of 32 bits are 1 MiB, whatever the corpus size.
@@ -73,16 +74,24 @@ def each_batch(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
-def count_sketch(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
+#: Copies of one block of counters that a task adds up at once.
+FAN_IN = 256
+
+
+def count_sketch(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray], bits: int = SKETCH_BITS, fan_in: int = FAN_IN) -> np.ndarray:
     """Counts over all rows in ``2**bits`` counters; ``slots_of`` gives the counter of every item of a batch.
 
-    Each partition sends one block set of fixed size; blocks are summed on executors, and only the
-    finished sketch, of a fixed size, comes to the driver.
+    Each partition sends one set of blocks of fixed size. Sets are summed on executors in a tree, ``fan_in`` at
+    a time, so no task's input grows with the number of partitions, and only the finished sketch, of a fixed
+    size, comes to the driver.
     """
     size = 1 << bits
     blocks = min(_SKETCH_BLOCKS, size)
+    most = np.iinfo(np.uint32).max
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         acc = np.zeros(size, dtype=np.int64)
         seen = False
         for b in batches:
@@ -92,18 +101,24 @@ def count_sketch(df: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray]
                     seen = True
                     acc += np.bincount(slots, minlength=size)
         if seen:
-            rows = np.minimum(acc, np.iinfo(np.uint32).max).astype(np.uint32).reshape(blocks, -1)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
+            rows = np.minimum(acc, most).astype(np.uint32).reshape(blocks, -1)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "part": pa.array([part] * blocks, pa.int32()), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    def total(_key, pdf):
+    def total(key, pdf):
         import pandas as pd
 
         acc = sum(np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(acc, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()]})
-
-    schema = "block int, counts binary"
-    got = df.mapInArrow(partial, schema).groupBy("block").applyInPandas(total, schema).collect()
+        return pd.DataFrame({"block": [key[0]], "part": [key[1]], "counts": [np.minimum(acc, most).astype(np.uint32).tobytes()]})
+
+    schema = "block int, part int, counts binary"
+    sums, parts = df.mapInArrow(partial, schema), df.rdd.getNumPartitions()
+    while True:
+        sums = sums.withColumn("part", F.expr(f"part div {fan_in}").cast("int")).groupBy("block", "part").applyInPandas(total, schema)
+        if parts <= fan_in:
+            break
+        parts = -(-parts // fan_in)
     out = np.zeros((blocks, size // blocks), dtype=np.uint32)
-    for r in got:
+    for r in sums.collect():  # one row per block
         out[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint32)
     return out.reshape(-1)

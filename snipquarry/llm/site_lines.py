@@ -1,9 +1,11 @@
 """Lines repeated across one source's documents.
 
-Method: a line's page frequency within its source is held against the line frequency outside the
-source by a log-likelihood ratio (G²) with Benjamini-Hochberg false-discovery control; significant
-excess lines that also reach the stated counts are taken out by an anti-join, and pages are put
-together again by line position. Everything runs in the JVM.
+Method: a line's page frequency within its source is held against the same line's page frequency in all
+other sources by a log-likelihood ratio (G²) with Benjamini-Hochberg false-discovery control; significant
+excess lines that also reach the stated counts are taken out by an anti-join, and pages are put together
+again by line position. The outside rate is never taken above a tenth of a percent, as a notice that all
+sources share is repeated in each of them. Everything runs in the JVM; ranks come from counts of p-values
+by bins, so no source is sorted in one task.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ MIN_LETTERS = 20
 MIN_PAGES = 5
 MIN_SHARE = 0.15
 FDR = 0.01
-#: The outside rate is never taken above this, so that a corpus of nothing but boilerplate still shows it.
-MAX_BACKGROUND = 0.01
+#: The outside rate is never taken above this, so that a line all sources repeat still shows.
+MAX_BACKGROUND = 0.001
+#: Bins of log p-values: of a quarter each, down to -1000.
+BINS, LEAST_BIN = 4, -4000
 BROADCAST_ROWS = 200_000
 
 
@@ -40,22 +44,25 @@ def line_statistics(df: DataFrame, source: str = "crawl_job_id", doc: str = "doc
     # hash each line once and drop repeats within the page before anything is exploded or shuffled
     keys = d.select("s", F.explode(F.array_distinct(F.transform(F.split("body", "\n"), line_key))).alias("k")).where("k is not null")
     counts = keys.groupBy("s", "k").agg(F.count("*").alias("pages"))
-    w = Window.partitionBy("s")
-    per_source = counts.groupBy("s").agg(F.sum("pages").alias("held"), F.count("*").alias("kinds"))
-    totals = per_source.join(sizes, "s").agg(F.sum("held").alias("all_held"), F.sum("kinds").alias("all_kinds"), F.sum("rows").alias("all_rows"))
-    found = counts.where(F.col("pages") >= MIN_PAGES).join(per_source, "s").join(sizes, "s").crossJoin(F.broadcast(totals))  # totals is one row
-    outside = (F.col("all_held") - F.col("held")) / F.greatest((F.col("all_kinds") - F.col("kinds")).cast("double") * (F.col("all_rows") - F.col("rows")), F.lit(1.0))
+    per_source = counts.groupBy("s").agg(F.count("*").alias("kinds"))
+    found = counts.where(F.col("pages") >= MIN_PAGES)
+    # a key's pages in all sources, for the keys in question only
+    every = counts.join(found.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.sum("pages").alias("everywhere"))
+    total = sizes.agg(F.sum("rows").alias("all_rows"))
+    found = found.join(every, "k").join(per_source, "s").join(sizes, "s").crossJoin(F.broadcast(total))  # total is one row
+    outside = (F.col("everywhere") - F.col("pages")) / F.greatest(F.col("all_rows") - F.col("rows"), F.lit(1))
     k, n = F.col("pages").cast("double"), F.col("rows").cast("double")
     p0 = F.col("outside_rate")
     miss = n - k
     llr = 2 * (k * F.log(k / (n * p0)) + F.when(miss > 0, miss * F.log(miss / (n * (1 - p0)))).otherwise(0.0))
     found = found.withColumn("outside_rate", F.least(F.greatest(outside, F.lit(1e-9)), F.lit(MAX_BACKGROUND))).withColumn("llr", F.when(k / n > p0, llr).otherwise(0.0))
-    # chi-square tail with one degree of freedom, by its upper bound exp(-llr / 2)
-    found = found.withColumn("log_p", -F.col("llr") / 2)
-    rank = F.row_number().over(w.orderBy("log_p", "k"))
-    passes = F.col("log_p") <= F.log(F.lit(FDR) * F.col("r") / F.greatest(F.col("kinds"), F.lit(1)))
-    found = found.withColumn("r", rank).withColumn("last", F.max(F.when(passes, F.col("r"))).over(w))
-    return found.withColumn("significant", F.coalesce(F.col("r") <= F.col("last"), F.lit(False))).select("s", "k", "pages", "rows", "outside_rate", "llr", "significant")
+    # chi-square tail with one degree of freedom, by its upper bound exp(-llr / 2), rounded up to a bin
+    found = materialize(found.withColumn("bin", F.greatest(F.ceil(-F.col("llr") / 2 * BINS), F.lit(LEAST_BIN))), "line-tests")
+    w = Window.partitionBy("s").orderBy("bin")
+    bins = found.groupBy("s", "kinds", "bin").agg(F.count("*").alias("n")).withColumn("r", F.sum("n").over(w))  # at most -LEAST_BIN rows a source
+    last = bins.where(F.col("bin") / BINS <= F.log(F.lit(FDR) * F.col("r") / F.col("kinds"))).groupBy("s").agg(F.max("bin").alias("last"))
+    found = found.join(last, "s", "left")
+    return found.withColumn("significant", F.coalesce(F.col("bin") <= F.col("last"), F.lit(False))).select("s", "k", "pages", "rows", "outside_rate", "llr", "significant")
 
 
 def repeated_lines(df: DataFrame, source: str = "crawl_job_id", doc: str = "doc_id", text: str = "markdown_content") -> DataFrame:

@@ -169,6 +169,52 @@ def test_passage_of_a_third(spark, monkeypatch):
     assert {r.doc_id for r in new_batch_duplicates(d).select("doc_id").collect()} == pages_truth(data) == set(range(101, 106))
 
 
+def test_history_is_opened_again(spark, tmp_path):
+    """Batches that arrive one by one in a reopened folder find what one run over all of them finds."""
+    from snipquarry.llm.batch_dedup import History
+
+    rng = random.Random(11)
+    bases = [[f"w{rng.randrange(900)}" for _ in range(rng.choice([60, 150]))] for _ in range(12)]
+    data = []
+    for n in range(90):
+        w = rng.choice(bases)[:]
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        data.append((n, n // 13, f"https://h.example/{n % 80}", None, "\n".join(" ".join(w[i : i + 25]) for i in range(0, len(w), 25)), "x"))
+    d = spark.createDataFrame(data, COLUMNS)
+    path, found = "file://" + str(tmp_path / "history"), set()
+    first = History(spark, path, buckets=3)
+    first.start(d.where("batch_no = 0"))
+    first.add(first.hashes(d.where("batch_no = 0")), check=False)
+    first.close()
+    for b in range(1, 7):
+        again = History(spark, path)
+        assert again.buckets == 3 and again._table("keys").count() > 0
+        found |= {r.doc_id for r in again.add(again.hashes(d.where(f"batch_no = {b}"))).collect()}
+        again.close()
+    assert found == pages_truth(data) == {r.doc_id for r in new_batch_duplicates(d).collect()}
+    assert not spark.sql("show tables like 'history_*'").collect()
+
+
+def test_repeating_texts_meet_by_prefixes(spark):
+    """Texts of few words in changing order share no long stretch; they are found all the same."""
+    rng = random.Random(3)
+    data = []
+    for n in range(30):
+        w = [rng.choice("ab") for _ in range(300)]
+        data.append((n, n % 3, f"https://h/{n}", None, " ".join(w), "x"))
+    d = spark.createDataFrame(data, COLUMNS)
+    assert {r.doc_id for r in new_batch_duplicates(d).select("doc_id").collect()} == pages_truth(data)
+
+
+def test_sketch_is_summed_in_a_tree(spark):
+    from snipquarry.llm.common import count_sketch
+
+    d = spark.range(0, 20_000, 1, 2000)
+    slots = lambda b: b.column(0).to_numpy() % 64
+    assert (count_sketch(d, slots, 8, fan_in=50)[:64].sum(), count_sketch(d, slots, 8)[:64].min()) == (20_000, 312)
+
+
 def test_leaks(spark):
     long = " ".join(f"t{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "x " + " ".join(f"T{i}," for i in range(5, 15)) + " y", 0), (2, " ".join(f"t{i}" for i in range(5, 14)), 0), (3, "what IS this", 0), (4, None, 0), (5, "", 0), (6, "a " * 100_000 + long, 0), (1, "z", 0)], "doc_id long, text string, item_id int")

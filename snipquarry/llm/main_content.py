@@ -96,7 +96,6 @@ _ATX = re.compile(r"\s{0,3}(#{1,6})\s+(.*)")
 _ITEM = re.compile(r"(\s*)(?:[-*+•]|\d{1,3}[.)])\s+(.*)")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)")
 _MARKS = re.compile(r"[*_`~]{1,3}|<[^>\n]{1,80}>")
-_SPACES = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?。、,;:!?]")
 
 
@@ -118,7 +117,7 @@ def _plain(s: str) -> tuple[str, int, int]:
         chars, n = sum(map(len, found)), len(found)
         s = _LINK.sub(r"\1", s)
     s = _MARKS.sub("", s) if any(c in s for c in "*_`~<") else s
-    return _SPACES.sub(" ", s).strip(), chars, n
+    return " ".join(s.split()), chars, n
 
 
 def parse(text: str) -> list[Line]:
@@ -169,24 +168,28 @@ def _only_links(x: Line) -> bool:
     return rest <= 3 * (x.n_links + 1)
 
 
-# What varies between lines of one shape, and what separates their words.
-_APART = re.compile(r"[\W_]+")
-_WORDS = re.compile(r"[^\W_]")
-_NUMBERS = re.compile(r"\d[\d ]*")
-_NAMES = re.compile(r"(?<= )(?:[A-Z][a-z]\S* ?)+")
-
-
+# The words of a line, and its numbers with whatever parts their digits.
+_TOKENS = re.compile(r"[^\W\d_]+|\d[\W\d_]*")
 #: Names are masked in lines that have no more other words than this.
 FEW_WORDS = 4
 
 
 def shapes(plain: str) -> list[str]:
     """The line's words in lower case with numbers masked and, for lines of few other words, also with capitalised words after the first masked."""
-    s = _NUMBERS.sub("0 ", _APART.sub(" ", plain).strip() + " ")
-    masked = _NAMES.sub("◻ ", s)
-    if masked != s and len(masked.split()) - masked.count("◻") - masked.count("0 ") <= FEW_WORDS:
-        return [s.lower(), masked.lower()]
-    return [s.lower()]
+    tokens = ["0" if t[0].isdigit() else t for t in _TOKENS.findall(plain)]
+    out = [" ".join(tokens).lower()]
+    masked, others = tokens[:1], 0
+    for t in tokens[1:]:
+        if not t.istitle():
+            masked.append(t)
+            others += t != "0"
+            if others >= FEW_WORDS:
+                return out
+        elif masked[-1] != "◻":
+            masked.append("◻")
+    if "◻" in masked:
+        out.append(" ".join(masked).lower())
+    return out
 
 
 def _paths(x: Line) -> list[int]:
@@ -221,7 +224,7 @@ def path_ratios(lines: list[Line], known: dict[int, float]) -> list[float]:
         while j < len(lines) and lines[j].no == lines[j - 1].no + 1 and lines[j].kind == lines[i].kind:
             j += 1
         if lines[i].kind == "row" or lines[i].kind == "li" and j - i > 2:
-            weights = [len(x.plain) if _WORDS.search(x.plain) else 0.01 for x in lines[i:j]]
+            weights = [len(x.plain) if any(map(str.isalnum, x.plain)) else 0.01 for x in lines[i:j]]
             mean = sum(r * w for r, w in zip(own[i:j], weights, strict=True)) / sum(weights)
             for k in range(i, j):
                 out[k] = max(own[k], mean) if lines[k].kind == "row" else own[k] and 0.5 * (own[k] + mean)

@@ -294,20 +294,18 @@ def _is_ui(n: Node) -> bool:
 def html_code_text(element: Node) -> str:
     """Text of a code element without controls; breaks and top-level divisions begin lines."""
     out: list[str] = []
-
-    def add(n: Node, top: bool) -> None:
-        for c in n.children:
-            if not c.tag:
-                out.append(c.text)
-            elif not _is_ui(c):
-                if c.tag == "br":
-                    out.append("\n")
-                elif top and c.tag in ("div", "p") and out and not out[-1].endswith("\n") and out[-1] != "":
-                    out.append("\n")
-                # a link is transparent: what it holds stands where it stood
-                add(c, top and c.tag == "a")
-
-    add(element, True)
+    stack = [(c, True) for c in element.children[::-1]]
+    while stack:
+        c, top = stack.pop()
+        if not c.tag:
+            out.append(c.text)
+        elif not _is_ui(c):
+            if c.tag == "br":
+                out.append("\n")
+            elif top and c.tag in ("div", "p") and out and not out[-1].endswith("\n") and out[-1] != "":
+                out.append("\n")
+            # a link is transparent: what it holds stands where it stood
+            stack += [(x, top and c.tag == "a") for x in c.children[::-1]]
     text = "\n".join(x.rstrip() for x in "".join(out).split("\n")).strip()
     return "\n".join(re.sub(r"^\s*\d+:\s*", "", x) for x in text.split("\n")).strip()
 

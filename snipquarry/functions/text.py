@@ -233,8 +233,8 @@ def strip_front_matter(c: Column) -> Column:
 
 def domain_of(url: Column) -> Column:
     """Host with port in lower case; a dotted text without scheme is taken as https; else null."""
-    full = F.when(url.rlike(r"^https?://"), url).when(url.contains(".") & ~url.contains(" "), F.concat(F.lit("https://"), url))
-    return F.nullif(F.lower(F.regexp_extract(full, r"^https?://([^/?#]*)", 1)), F.lit(""))
+    full = F.when(url.rlike(r"^(?i)https?://"), url).when(url.contains(".") & ~url.contains(" "), F.concat(F.lit("https://"), url))
+    return F.nullif(F.lower(F.regexp_extract(full, r"^(?i)https?://([^/?#]*)", 1)), F.lit(""))
 
 
 def domains_of(urls: Column) -> Column:
@@ -352,6 +352,17 @@ def count_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 4).cast("long")
 
 
+def hard_truncate(c: Column, tokens: int) -> Column:
+    """(text, truncated): at most ``tokens`` estimated tokens, cut where they end."""
+    cut = F.substring(c, 1, 4 * tokens)
+    return F.struct(cut.alias("text"), F.coalesce(F.length(c) > 4 * tokens, F.lit(False)).alias("truncated"))
+
+
+def same_domain(a: Column, b: Column) -> Column:
+    """Whether two addresses are of one domain; false if either has none."""
+    return F.coalesce(domain_of(a) == domain_of(b), F.lit(False))
+
+
 def smart_truncate(c: Column, tokens: int) -> Column:
     """At most ``tokens`` estimated tokens, cut at the last line feed if it lies in the final fifth."""
     cut = F.substring(c, 1, tokens * 4)
@@ -378,7 +389,7 @@ def count_occurrences(c: Column, needle: str) -> Column:
     if not needle:
         return F.lit(0)
     low = needle.lower()
-    return F.coalesce(((F.length(c) - F.length(F.replace(F.lower(c), F.lit(low), F.lit("")))) / len(low)).cast("int"), F.lit(0))
+    return F.coalesce(((F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.lit(low), F.lit("")))) / len(low)).cast("int"), F.lit(0))
 
 
 def glob_to_regex(glob: str) -> str:

@@ -196,9 +196,9 @@ def failed_pages_of(t: Tables, job_id: str) -> DataFrame:
     return t.failed_pages.where(F.col("crawl_job_id") == job_id).select("id", "url", "error_message", "failed_at").orderBy("id")
 
 
-def document_markdown(t: Tables, doc_ids: list[int]) -> DataFrame:
-    """Text of documents by id with a status; a missing or empty text is no_content."""
-    d = t.documents.where(F.col("doc_id").isin(doc_ids))
+def document_markdown(t: Tables, doc_ids: list[int] | None = None) -> DataFrame:
+    """Text of documents, of all or by id, with a status; a missing or empty text is no_content."""
+    d = t.documents if doc_ids is None else t.documents.where(F.col("doc_id").isin(doc_ids))
     has = F.coalesce(F.col("markdown_content") != "", F.lit(False))
     return d.select("doc_id", F.when(has, "success").otherwise("no_content").alias("status"), F.when(has, F.col("markdown_content")).alias("content"), F.when(has, F.length("markdown_content")).otherwise(0).alias("content_length"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialize
 
 ORPHAN = "-"
 
@@ -16,9 +19,12 @@ def scope(kind: str = "crawl_job_id", other: str = "upload_job_id") -> Column:
 
 
 def classify(incoming: DataFrame, stored: DataFrame, ignore_hash: bool = False) -> DataFrame:
-    """Incoming pages (url, content_hash, ...) with change: new, changed or unchanged against the stored ones."""
-    old = stored.select("url", F.lower("content_hash").alias("_old"), F.lit(True).alias("_held"))
-    same = F.lit(False) if ignore_hash else F.lower("content_hash").eqNullSafe(F.col("_old"))
+    """Incoming pages (url, content_hash, ...) with change: new, changed or unchanged against the stored ones.
+
+    Of repeated stored addresses any equal hash makes a page unchanged, so no page comes out twice.
+    """
+    old = stored.groupBy("url").agg(F.collect_set(F.coalesce(F.lower("content_hash"), F.lit(""))).alias("_old")).withColumn("_held", F.lit(True))
+    same = F.lit(False) if ignore_hash else F.array_contains("_old", F.coalesce(F.lower("content_hash"), F.lit("")))
     kind = F.when(F.col("_held").isNull(), "new").when(same, "unchanged").otherwise("changed")
     return incoming.join(old, "url", "left").withColumn("change", kind).drop("_old", "_held")
 
@@ -39,10 +45,15 @@ def first_per_scope(blocks: DataFrame, existing: DataFrame | None = None, order:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "url", newest: str | None = None) -> DataFrame:
-    """The next version of a table: incoming rows replace stored ones with an equal key."""
-    if newest:
-        w = Window.partitionBy(key).orderBy(F.desc_nulls_last(newest))
-        incoming = incoming.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The next version of a table: incoming rows replace stored ones with an equal key.
+
+    Of incoming rows with one key the newest counts; ties, and all rows without ``newest``, go by the rows'
+    values, so the result is defined. Rows without a key are all kept.
+    """
+    every = [F.col(c) for c in incoming.columns]
+    order = F.struct(*([F.col(newest)] if newest else []), F.xxhash64(*every), F.to_json(F.struct(*every)))
+    best = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*every), order).alias("_row"))
+    incoming = best.select(*[F.col("_row")[c].alias(c) for c in incoming.columns]).unionByName(incoming.where(F.col(key).isNull()))
     kept = stored.join(incoming.select(key).distinct(), key, "left_anti")
     return kept.unionByName(incoming, allowMissingColumns=True)
 
@@ -107,6 +118,55 @@ def regeneration_summary(changes: DataFrame, key: str, preview: int = 10) -> Dat
     return changes.agg(F.count("*").alias("total"), F.count_if("changed").alias("changed")).crossJoin(F.broadcast(first))
 
 
+def page_hash(markdown: Column) -> Column:
+    """The change hash of a page: of its Markdown without link targets, so that moved links change nothing."""
+    return F.md5(text.unlink_markdown(F.coalesce(markdown, F.lit(""))))
+
+
+def chosen_markdown(fit: Column, raw: Column) -> Column:
+    """What is stored of a page: the fitted Markdown unless it is blank, else the raw one. Hashes go by the raw one."""
+    return F.when(text.strip(F.coalesce(fit, F.lit(""))) != "", fit).otherwise(raw)
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """The next versions of the tables after a batch of pages, and the batch's own rows."""
+
+    documents: DataFrame
+    snippets: DataFrame
+    pages: DataFrame  # incoming pages with their change
+    blocks: DataFrame  # snippets that came in
+
+
+def ingest_pages(documents: DataFrame, snippets: DataFrame, incoming: DataFrame, ignore_hash: bool = False) -> Ingested:
+    """One batch of pages (doc_id, url, title, markdown_content, content_type, crawl_job_id, upload_job_id) through the
+    whole path: change detection by hash, extraction of new and changed pages only, defaults, the first block
+    of each code within its source, and replacement.
+
+    A page that comes back under its address keeps the stored doc_id, so its old snippets go if new ones came; the
+    counts of snippets that unchanged pages keep come with them. Running the same batch again changes nothing.
+    Snippet ids follow from document and code.
+    """
+    from .extract import extract
+
+    ids = documents.where("url is not null").groupBy("url").agg(F.min("doc_id").alias("_known"))
+    page = incoming.withColumn("content_hash", page_hash(F.col("markdown_content"))).join(ids, "url", "left").withColumn("doc_id", F.coalesce("_known", "doc_id")).drop("_known")
+    page = materialize(page.groupBy("doc_id").agg(F.min_by(F.struct(*page.columns), F.struct(F.col("content_hash"), F.col("title"))).alias("_p")).select("_p.*"), "ingest-pages")
+    kept = snippets.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("kept_snippets"))
+    change = classify(page, documents, ignore_hash).join(kept, "doc_id", "left").withColumn("kept_snippets", F.when(F.col("change") == "unchanged", F.coalesce("kept_snippets", F.lit(0))).otherwise(0))
+    change = materialize(change, "ingest-changes")
+    todo = change.where("change <> 'unchanged'")
+    blocks = extract(todo, "doc_id", "markdown_content", "content_type" if "content_type" in todo.columns else None, None if "content_type" in todo.columns else "markdown")
+    about = todo.select(F.col("doc_id").alias("id"), F.col("title").alias("page_title"), F.col("url").alias("source_url"), scope().alias("scope"))
+    fresh = store_defaults(blocks.join(about, "id")).withColumnRenamed("id", "document_id")
+    # code that the source holds on other pages isn't taken again
+    held = snippets.join(documents.select(F.col("doc_id").alias("document_id"), scope().alias("scope")), "document_id").join(todo.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti")
+    fresh = first_per_scope(fresh, held.select("scope", F.lower("code_hash").alias("code_hash")).distinct())
+    fresh = materialize(fresh.withColumn("id", F.xxhash64("document_id", "code_hash")).drop("scope", "page_title", "block_no"), "ingest-blocks")
+    stored = change.where("change <> 'unchanged'").drop("change", "kept_snippets")
+    return Ingested(upsert(documents, stored, "doc_id"), replace_snippets(snippets, fresh), change.select("doc_id", "url", "change", "kept_snippets"), fresh)
+
+
 AUTO = "[Auto-detecting"
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import english
 from ..functions import similarity as sim
+from ..session import materialize
 from .catalog import Tables, in_source
-from .relations import neighbours
+from .relations import neighbours, related_contexts
 
 FALLBACK_BELOW = 5
 MARKDOWN_DOCS = 10
@@ -42,10 +43,8 @@ def _in_sources(t: Tables, source_ids: list[str] | None) -> DataFrame | None:
     return t.documents.where(in_source(*source_ids)).select(F.col("doc_id").alias("document_id"))
 
 
-def direct(t: Tables, query: str, source_ids: list[str] | None = None, language: str | None = None, snippet_type: str | None = None) -> DataFrame:
-    """All matching snippets with their rank. Without a query all snippets match with rank 0.
-
-    Every predicate reaches the scan; fields are tokenised for rows that survive them only."""
+def scoped(t: Tables, source_ids: list[str] | None = None, language: str | None = None, snippet_type: str | None = None) -> DataFrame:
+    """The snippets a search may return, in each of its phases; every predicate reaches the scan."""
     s = t.snippets
     if language:
         s = s.where(F.col("language") == language.lower())
@@ -53,6 +52,14 @@ def direct(t: Tables, query: str, source_ids: list[str] | None = None, language:
         s = s.where(F.col("snippet_type") == snippet_type)
     if (d := _in_sources(t, source_ids)) is not None:
         s = s.join(d, "document_id", "left_semi")
+    return s
+
+
+def direct(t: Tables, query: str, source_ids: list[str] | None = None, language: str | None = None, snippet_type: str | None = None) -> DataFrame:
+    """All matching snippets with their rank. Without a query all snippets match with rank 0.
+
+    Fields are tokenised for rows that survive the scope only."""
+    s = scoped(t, source_ids, language, snippet_type)
     fields = sim.field_texts()
     if query:
         s = s.where(sim.matches(list(fields.values()), query))
@@ -81,41 +88,84 @@ def search_function(t: Tables, query: str | None = None, source: str | None = No
     return s.orderBy(*order).offset(offset).limit(limit).drop("created_at")
 
 
-def search_pages(t: Tables, query: str, source_id: str | None = None, limit: int = MARKDOWN_DOCS, stems: bool = False) -> DataFrame:
+def search_pages(t: Tables, query: str, source_ids: list[str] | str | None = None, limit: int = MARKDOWN_DOCS, stems: bool = False) -> DataFrame:
     """(doc_id, title, rank): best pages by title and text; with ``stems`` words match by their English stem."""
-    d = t.documents if source_id is None else t.documents.where(F.col("crawl_job_id") == source_id)
+    ids = [source_ids] if isinstance(source_ids, str) else source_ids
+    d = t.documents.where(in_source(*ids)) if ids else t.documents
     fields = {k: F.col(k) for k in PAGE_WEIGHTS}
     d = d.where((english if stems else sim).matches(list(fields.values()), query))
     return d.select("doc_id", "title", sim.rank(fields, query, PAGE_WEIGHTS).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(limit)
 
 
-def search(t: Tables, query: str, source_ids: list[str] | None = None, language: str | None = None, limit: int = 10, offset: int = 0, enhanced: bool = False, expand: bool = True, fallback: bool = True) -> DataFrame:
-    """The search pipeline as one plan: (id, phase, rank, position).
+def _phases(t: Tables, query: str, source_ids: list[str] | None, language: str | None, snippet_type: str | None, limit: int, offset: int, enhanced: bool, expand: bool, fallback: bool, stems: bool) -> DataFrame:
+    """(id, phase, rank, created_at, page_rank) of up to offset + limit snippets of each phase, before the page is cut.
+
+    The scope holds in every phase. The first phases have at most offset + limit rows each and are written once.
+    """
+    need = offset + limit
+    none = F.lit(None).cast("long").alias("page_rank")
+    out = materialize(direct(t, query, source_ids, language, snippet_type).orderBy(F.desc("rank"), "id").limit(need).select("id", F.lit(0).alias("phase"), "rank", "created_at", none), "hits")
+    fields = list(sim.field_texts().values())
+    if expand:
+        near = neighbours(t, out.select("id")).select(F.col("related_snippet_id").alias("id")).distinct()
+        # what matches by itself is a direct hit, on this page or a later one
+        near = scoped(t, source_ids, language, snippet_type).join(near, "id", "left_semi").where(~F.coalesce(sim.matches(fields, query), F.lit(False)))
+        near = near.orderBy("id").limit(limit).select("id", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("rank"), "created_at", none)
+        out = materialize(out.unionByName(near), "hits")
+    # at most 2 x need rows, so their number says whether pages are to be searched
+    if fallback and (enhanced or out.count() < FALLBACK_BELOW):
+        pages = search_pages(t, query, source_ids, stems=stems).select(F.col("doc_id").alias("document_id"), F.col("rank").alias("page_rank"))
+        found = scoped(t, source_ids, language, snippet_type).join(F.broadcast(pages), "document_id").join(F.broadcast(out.select("id")), "id", "left_anti")  # both sides are limited above
+        found = found.orderBy(F.desc_nulls_first("created_at"), "id").limit(need)
+        out = out.unionByName(found.select("id", F.lit(2).alias("phase"), F.lit(0).cast("long").alias("rank"), "created_at", "page_rank"))
+    return out
+
+
+def _page(out: DataFrame, limit: int, offset: int) -> DataFrame:
+    return out.orderBy("phase", F.desc("rank"), F.desc_nulls_first(F.when(F.col("phase") == 2, F.col("created_at"))), "id").offset(offset).limit(limit)
+
+
+def search(t: Tables, query: str, source_ids: list[str] | None = None, language: str | None = None, limit: int = 10, offset: int = 0, enhanced: bool = False, expand: bool = True, fallback: bool = True, snippet_type: str | None = None, stems: bool = False) -> DataFrame:
+    """The search pipeline: (id, phase, rank), one page.
 
     Phase 0 holds direct hits by rank, phase 1 snippets related to them where room is left on the page,
     phase 2 the snippets of matching pages, newest first, if ``enhanced`` or if the first phases give
-    fewer than FALLBACK_BELOW. Later phases leave out what direct hits hold.
+    fewer than FALLBACK_BELOW. Later phases leave out what earlier ones hold. Sources, language and type
+    bind all three.
     """
-    hits = direct(t, query, source_ids, language)
-    top = hits.orderBy(F.desc("rank"), "id").limit(offset + limit).select("id", F.lit(0).alias("phase"), "rank", "created_at")
-    out = top
-    if expand:
-        near = neighbours(t, top.select("id")).select(F.col("related_snippet_id").alias("id")).distinct().join(hits.select("id"), "id", "left_anti")
-        near = t.snippets.join(near, "id", "left_semi").orderBy("id").limit(limit)
-        out = out.unionByName(near.select("id", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("rank"), "created_at"))
-    if fallback:
-        pages = search_pages(t, query).select(F.col("doc_id").alias("document_id"))
-        found = t.snippets.join(pages, "document_id", "left_semi").join(out.select("id"), "id", "left_anti")
-        if language:
-            found = found.where(F.col("language") == language.lower())
-        found = found.orderBy(F.desc_nulls_first("created_at"), "id").limit(offset + limit)
-        found = found.select("id", F.lit(2).alias("phase"), F.lit(0).cast("long").alias("rank"), "created_at")
-        if not enhanced:
-            few = out.agg(F.count("*").alias("n")).where(F.col("n") < FALLBACK_BELOW)
-            found = found.crossJoin(F.broadcast(few)).drop("n")  # one row or none
-        out = out.unionByName(found)
-    page = out.orderBy("phase", F.desc("rank"), F.desc_nulls_first(F.when(F.col("phase") == 2, F.col("created_at"))), "id").offset(offset).limit(limit)
-    return page.select("id", "phase", "rank")
+    return _page(_phases(t, query, source_ids, language, snippet_type, limit, offset, enhanced, expand, fallback, stems), limit, offset).select("id", "phase", "rank")
+
+
+def search_annotated(t: Tables, query: str, limit: int = 10, offset: int = 0, **options) -> DataFrame:
+    """(id, phase, rank, method, page_rank, contexts): a page of ``search`` with how each row was found.
+
+    method is direct, related or markdown; page_rank is the rank of the page that led to a snippet; contexts
+    are the edges to hits of the page, as sorted JSON.
+    """
+    o = {"source_ids": None, "language": None, "snippet_type": None, "enhanced": False, "expand": True, "fallback": True, "stems": False} | options
+    page = materialize(_page(_phases(t, query, o["source_ids"], o["language"], o["snippet_type"], limit, offset, o["enhanced"], o["expand"], o["fallback"], o["stems"]), limit, offset), "page")
+    edges = related_contexts(t, page.where("phase = 0").select("id"))
+    method = F.when(F.col("phase") == 0, "direct").when(F.col("phase") == 1, "related").otherwise("markdown")
+    return page.join(edges, "id", "left").select("id", "phase", "rank", method.alias("method"), "page_rank", F.when(F.col("phase") == 1, F.col("contexts")).alias("contexts"))
+
+
+def search_total(t: Tables, query: str, source_ids: list[str] | None = None, language: str | None = None, limit: int = 10, snippet_type: str | None = None, stems: bool = False) -> DataFrame:
+    """(direct, related, from_pages, total): what a first page of ``search`` stands for: all direct hits, the
+    related ones shown, and all snippets of the pages if those were searched."""
+    out = materialize(_phases(t, query, source_ids, language, snippet_type, limit, 0, False, True, False, stems), "hits")
+    n = direct(t, query, source_ids, language, snippet_type).agg(F.count("*").alias("direct"))
+    related = out.agg(F.count_if(F.col("phase") == 1).alias("related"), F.count("*").alias("shown"))
+    pages = search_pages(t, query, source_ids, stems=stems).select(F.col("doc_id").alias("document_id"))
+    more = scoped(t, source_ids, language, snippet_type).join(F.broadcast(pages), "document_id", "left_semi").join(F.broadcast(out.select("id")), "id", "left_anti").agg(F.count("*").alias("more"))
+    one = n.crossJoin(F.broadcast(related)).crossJoin(F.broadcast(more))  # three one-row aggregates
+    return one.select("direct", "related", F.when(F.col("shown") < FALLBACK_BELOW, F.col("more")).otherwise(0).alias("from_pages")).withColumn("total", F.col("direct") + F.col("related") + F.col("from_pages"))
+
+
+def with_code(t: Tables, hits: DataFrame, context: bool = True) -> DataFrame:
+    """The snippets of hits with their columns; without ``context`` the text around the code is blank."""
+    s = t.snippets.drop("rank")
+    blank = {} if context else {c: F.lit("") for c in ("context_before", "context_after", "description") if c in s.columns}
+    return hits.join(s.withColumns(blank) if blank else s, "id")
 
 
 def similar_code(t: Tables, code: str, least: float = 0.1, limit: int = 10) -> DataFrame:

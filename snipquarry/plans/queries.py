@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clock, parsers, similarity, text
-from ..operators import catalog, chunking, extract, frontier, ingest, mutate, relations, resolve, search
+from ..functions import clock, html_markdown, similarity, text
+from ..operators import catalog, chunking, extract, frontier, ingest, jobs, mutate, relations, resolve, search
 from ..streaming import progress as live
 from .registry import query
 
@@ -63,8 +63,8 @@ DIRECT = f"select id, document_id, title, language, created_at, {_rank(FIELDS, '
 PAGE_FIELDS = {k: k for k in search.PAGE_WEIGHTS}
 
 
-def _pages(q: str, n: int = 10) -> str:
-    return f"select doc_id, title, {_rank(PAGE_FIELDS, q, search.PAGE_WEIGHTS)} as rank from documents where {_match(list(PAGE_FIELDS), q)} order by rank desc, doc_id limit {n}"
+def _pages(q: str, n: int = 10, where: str = "true") -> str:
+    return f"select doc_id, title, {_rank(PAGE_FIELDS, q, search.PAGE_WEIGHTS)} as rank from documents where {where} and {_match(list(PAGE_FIELDS), q)} order by rank desc, doc_id limit {n}"
 
 
 NEIGHBOURS = """nb as (
@@ -74,15 +74,19 @@ NEIGHBOURS = """nb as (
     select target_snippet_id, source_snippet_id, case relationship_type when 'imports' then 'imported_by' when 'extends' then 'extended_by' when 'implements' then 'implemented_by' when 'uses' then 'used_by' when 'example_of' then 'has_example' when 'configuration_for' then 'configured_by' else 'related' end, description from snippet_relationships))"""
 
 
-def _pipeline(q: str, limit: int, offset: int, enhanced: bool) -> str:
+def _phases(q: str, limit: int, offset: int, enhanced: bool, scope: str = "true", pages: str = "true") -> str:
     few = "" if enhanced else "and (select count(*) from ph1) < 5"
-    return f"""with {NEIGHBOURS}, hits as (select id, {_rank(FIELDS, q, similarity.WEIGHTS)} as rank, created_at from code_snippets where {_match(list(FIELDS.values()), q)}),
+    return f"""with {NEIGHBOURS}, hits as (select id, {_rank(FIELDS, q, similarity.WEIGHTS)} as rank, created_at from code_snippets s where {scope} and {_match(list(FIELDS.values()), q)}),
 top as (select id, 0 as phase, rank, created_at from hits order by rank desc, id limit {offset + limit}),
-rel as (select s.id, 1 as phase, 0::bigint as rank, s.created_at from code_snippets s where s.id in (select related_snippet_id from nb where snippet_id in (select id from top)) and s.id not in (select id from hits) order by s.id limit {limit}),
+rel as (select s.id, 1 as phase, 0::bigint as rank, s.created_at from code_snippets s where {scope} and s.id in (select related_snippet_id from nb where snippet_id in (select id from top)) and s.id not in (select id from hits) order by s.id limit {limit}),
 ph1 as (select * from top union all select * from rel),
-pg as ({_pages(q)}),
-fb as (select s.id, 2 as phase, 0::bigint as rank, s.created_at from code_snippets s where s.document_id in (select doc_id from pg) and s.id not in (select id from ph1) {few} order by s.created_at desc nulls first, s.id limit {offset + limit})
-select id, phase, rank from (select * from ph1 union all select * from fb) order by phase, rank desc, case when phase = 2 then created_at end desc nulls first, id limit {limit} offset {offset}"""
+pg as ({_pages(q, where=pages)}),
+fb as (select s.id, 2 as phase, 0::bigint as rank, s.created_at, s.document_id from code_snippets s where {scope} and s.document_id in (select doc_id from pg) and s.id not in (select id from ph1) {few} order by s.created_at desc nulls first, s.id limit {offset + limit})"""
+
+
+def _pipeline(q: str, limit: int, offset: int, enhanced: bool, scope: str = "true", pages: str = "true") -> str:
+    return f"""{_phases(q, limit, offset, enhanced, scope, pages)}
+select id, phase, rank from (select * from ph1 union all select id, phase, rank, created_at from fb) order by phase, rank desc, case when phase = 2 then created_at end desc nulls first, id limit {limit} offset {offset}"""
 
 
 # ---- search -----------------------------------------------------------------------------------------
@@ -133,6 +137,33 @@ def search_enhanced_page2(t):
     return search.search(t, "cache buffer", offset=10, enhanced=True)
 
 
+IN_JOB = f"s.document_id in (select doc_id from documents where crawl_job_id = '{JOB}')"
+
+
+@query(_pipeline("socket pager", 10, 0, False, IN_JOB, f"crawl_job_id = '{JOB}'"))
+def search_in_source_fallback(t):
+    return search.search(t, "socket pager", [JOB])
+
+
+@query(_pipeline("cache", 30, 0, True, f"{IN_JOB} and s.language = 'python' and s.snippet_type = 'code'", f"crawl_job_id = '{JOB}'"))
+def search_related_in_source(t):
+    return search.search(t, "cache", [JOB], "Python", 30, enhanced=True, snippet_type="code")
+
+
+@query(f"""select p.id, p.phase, p.rank, case p.phase when 0 then 'direct' when 1 then 'related' else 'markdown' end as method, g.rank as page_rank
+from ({_pipeline("socket pager lexer cursor", 10, 0, False)}) p left join code_snippets s on s.id = p.id left join ({_pages("socket pager lexer cursor")}) g on p.phase = 2 and g.doc_id = s.document_id""")
+def search_methods(t):
+    return search.search_annotated(t, "socket pager lexer cursor").drop("contexts")
+
+
+@query(f"""with ph as ({_phases("socket pager", 10, 0, False)} select phase, count(*) as n from (select * from ph1) group by phase), h as (select count(*) as n from code_snippets where {_match(list(FIELDS.values()), "socket pager")}),
+shown as (select coalesce(sum(n), 0) as n, coalesce(sum(n) filter (phase = 1), 0) as r from ph),
+more as (select count(*) as n from code_snippets s where s.document_id in (select doc_id from ({_pages("socket pager")})) and s.id not in (select id from ({_phases("socket pager", 10, 0, False)} select id from ph1)))
+select h.n as direct, cast(shown.r as bigint) as related, case when shown.n < 5 then more.n else 0 end as from_pages, cast(h.n + shown.r + case when shown.n < 5 then more.n else 0 end as bigint) as total from h, shown, more""")
+def search_totals(t):
+    return search.search_total(t, "socket pager")
+
+
 @query("select term, id, field, count(*) as tf from (" + " union all ".join(f"select id, '{k}' as field, unnest({_tok(f)}) as term from code_snippets" for k, f in FIELDS.items()) + ") group by all")
 def search_postings(t):
     return search.postings(t.snippets)
@@ -308,9 +339,9 @@ def failed_pages(t):
     return catalog.failed_pages_of(t, JOB)
 
 
-@query("select doc_id, case when coalesce(markdown_content <> '', false) then 'success' else 'no_content' end as status, nullif(markdown_content, '') as content, coalesce(length(markdown_content), 0) as content_length from documents where doc_id in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)")
+@query("select doc_id, case when coalesce(markdown_content <> '', false) then 'success' else 'no_content' end as status, nullif(markdown_content, '') as content, coalesce(length(markdown_content), 0) as content_length from documents")
 def document_markdown(t):
-    return catalog.document_markdown(t, [1, 2, 3, 5, 8, 13, 21, 34, 55, 89])
+    return catalog.document_markdown(t)
 
 
 @query(f"""with j as (select *, status = 'running' and (last_heartbeat is null or date_diff('microsecond', last_heartbeat, timestamp '{LIVE}') // 1000000 > 60) as stale, id in (select crawl_job_id from failed_pages) as hf from crawl_jobs)
@@ -363,11 +394,11 @@ def related_contexts(t):
     return relations.related_contexts(t, t.snippets.where("language = 'go'").select("id"))
 
 
-META = "case when id % 3 = 0 then '{\"relationships\": [{\"related_index\": ' || cast(id % 4 as {s}) || ', \"relationship_type\": \"uses\", \"description\": \"d\"}, {\"related_index\": 0, \"relationship_type\": \"related\"}]}' end"
+META = "'{\"relationships\": [{\"related_index\": ' || cast(id % 4 as {s}) || ', \"relationship_type\": \"uses\", \"description\": \"d\"}, {\"related_index\": 0, \"relationship_type\": \"related\"}]}'"
 
 
 @query("""with n as (select id, document_id, row_number() over (partition by document_id order by id) - 1 as pos from code_snippets),
-w as (select id, document_id, id % 4 as pos, 'uses' as k, 'd' as description from code_snippets where id % 3 = 0 union all select id, document_id, 0, 'related', null from code_snippets where id % 3 = 0)
+w as (select id, document_id, id % 4 as pos, 'uses' as k, 'd' as description from code_snippets union all select id, document_id, 0, 'related', null from code_snippets)
 select w.id as source, n.id as target, w.k as relationship_type, w.description from w join n using (document_id, pos) where w.id <> n.id""")
 def relationships_from_json(t):
     s = t.snippets.select("id", "document_id", F.expr(META.replace("{s}", "string")).alias("meta_data"))
@@ -434,10 +465,15 @@ def truncated_snippets(t):
     return t.snippets.select("id", text.smart_truncate(F.col("code_content"), 100).alias("short"))
 
 
-@query("select doc_id, coalesce((length(markdown_content) - length(replace(lower(markdown_content), 'cache', ''))) // 5, 0) as n from documents where length(lower(markdown_content)) = length(markdown_content) or markdown_content is null")
+@query("select doc_id, coalesce((length(lower(markdown_content)) - length(replace(lower(markdown_content), 'cache', ''))) // 5, 0) as n from documents")
 def occurrence_counts(t):
-    same = F.col("markdown_content").isNull() | (F.length(F.lower("markdown_content")) == F.length("markdown_content"))
-    return t.documents.where(same).select("doc_id", text.count_occurrences(F.col("markdown_content"), "cache").alias("n"))
+    return t.documents.select("doc_id", text.count_occurrences(F.col("markdown_content"), "cache").alias("n"))
+
+
+@query("select id, substr(code_content, 1, 400) as short, coalesce(length(code_content) > 400, false) as truncated from code_snippets")
+def hard_truncated_snippets(t):
+    cut = text.hard_truncate(F.col("code_content"), 100)
+    return t.snippets.select("id", cut["text"].alias("short"), cut["truncated"].alias("truncated"))
 
 
 @query()
@@ -489,8 +525,23 @@ def extract_pages(t):
 
 @query()
 def rst_titles(t):
-    title = F.udf(lambda s: parsers.rst_title(s) if s else None, "string", useArrow=True)
-    return t.documents.select("doc_id", title("markdown_content").alias("title"))
+    return t.documents.select("doc_id", extract.rst_title(F.col("markdown_content")).alias("title"))
+
+
+@query()
+def html_to_markdown(t):
+    """The pages' own texts, read as HTML, as Markdown."""
+    return t.documents.select("doc_id", html_markdown.to_markdown(F.col("markdown_content")).alias("markdown"))
+
+
+@query()
+def extract_pages_as_html(t):
+    return extract.extract(t.documents, content="markdown_content", kind="html")
+
+
+@query()
+def extract_pages_as_rst(t):
+    return extract.extract(t.documents, content="markdown_content", kind="restructuredtext")
 
 
 # ---- ingest -----------------------------------------------------------------------------------------
@@ -528,10 +579,21 @@ def ingest_upsert(t):
     return ingest.upsert(_stored(t).select("url", "title", "updated_at"), t.documents.where("batch_no > 0").select("url", "title", "updated_at"), newest="updated_at").select("url", "title")
 
 
-@query("select s.id from code_snippets s where document_id in (select doc_id from documents where batch_no = 0) or document_id in (select doc_id from documents where batch_no = 1)")
+@query("""select case when d.batch_no > 0 then s.id + 1000000000 else s.id end as id from code_snippets s left join documents d on d.doc_id = s.document_id""")
 def replace_snippets(t):
-    of = lambda b: t.snippets.join(t.documents.where(F.col("batch_no") == b).select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
-    return ingest.replace_snippets(of(0), of(1)).select("id")
+    """The snippets of later batches come in again under new ids and take the place of the old ones."""
+    later = t.documents.where("batch_no > 0").select(F.col("doc_id").alias("document_id"))
+    fresh = t.snippets.join(later, "document_id", "left_semi").withColumn("id", F.col("id") + 1_000_000_000)
+    return ingest.replace_snippets(t.snippets, fresh).select("id")
+
+
+@query()
+def ingest_composed(t):
+    """All later batches through the composed path, on top of the first."""
+    of = lambda c: t.documents.where(c)
+    old = of("coalesce(batch_no, 0) = 0")
+    snippets = t.snippets.join(old.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
+    return ingest.ingest_pages(old, snippets, of("batch_no > 0")).pages
 
 
 @query("select f.id, f.crawl_job_id, f.url from failed_pages f where not exists (select 1 from documents d where d.crawl_job_id = f.crawl_job_id and d.url = f.url)")
@@ -623,15 +685,15 @@ def job_progress(t):
     return live.progress(t.heartbeats)
 
 
-@query(f"with m as (select crawl_job_id, max(ts) as m from crawl_heartbeats group by 1), a as (select crawl_job_id, date_diff('microsecond', m, timestamp '{LIVE}') // 1000000 as age_s from m) select crawl_job_id, age_s, case when age_s > 60 then 'stalled' when age_s > 30 then 'warning' else 'healthy' end as health from a where age_s >= 0")
+@query(f"with m as (select crawl_job_id, max(ts) as m from crawl_heartbeats group by 1), a as (select crawl_job_id, cast(floor(date_diff('microsecond', m, timestamp '{LIVE}') / 1000000.0) as bigint) as age_s from m) select crawl_job_id, age_s, case when age_s > 60 then 'stalled' when age_s > 30 then 'warning' else 'healthy' end as health from a")
 def job_health(t):
-    return live.job_health(t.heartbeats, LIVE).where("age_s >= 0")
+    return live.job_health(t.heartbeats, LIVE)
 
 
 @query(f"""with {_BEATS}, p as (select crawl_job_id, max(ts) as last_ts, max_by(phase, struct_pack(a := ts, b := phase)) filter (phase is not null) as phase from b group by 1)
-select j.id as crawl_job_id, 'Job stalled in phase ' || coalesce(phase, 'unknown') as error_message from crawl_jobs j left join p on p.crawl_job_id = j.id where last_ts is null or date_diff('microsecond', last_ts, timestamp '{LIVE}') // 1000000 > 60""")
+select j.id as crawl_job_id, 'Job stalled in phase ' || coalesce(phase, 'unknown') as error_message from crawl_jobs j left join p on p.crawl_job_id = j.id where j.status = 'running' and (last_ts is null or date_diff('microsecond', last_ts, timestamp '{LIVE}') // 1000000 > 60)""")
 def stalled_jobs(t):
-    return live.stalled(t.crawl_jobs.withColumn("status", F.lit("running")), t.heartbeats, LIVE)
+    return live.stalled(t.crawl_jobs, t.heartbeats, LIVE)
 
 
 @query(f"with {_BEATS}, n as (select crawl_job_id, ts, processed, row_number() over (partition by crawl_job_id order by ts, processed nulls first, phase nulls first) as no from b) select * from n where (no - 1) % 3 = 0")
@@ -654,16 +716,81 @@ def relative_dates(t):
 # ---- crawling ---------------------------------------------------------------------------------------
 
 
-@query("""with recursive l as (select doc_id as s, doc_id * 2 as t from documents union all select doc_id, doc_id * 2 + 1 from documents), r as (select 1::bigint as id, 0 as depth union all select l.t, r.depth + 1 from r join l on l.s = r.id where r.depth < 8 and l.t % 7 <> 0)
-select 'https://a.example/p/' || id as url, min(depth) as depth from r group by 1""")
+@query("""with recursive l as (select distinct parent_url as s, url as t from documents where parent_url is not null and url is not null), r as (select distinct url, 0 as depth from documents where parent_url is null and url is not null union select l.t, r.depth + 1 from r join l on l.s = r.url where r.depth < 8)
+select url, min(depth) as depth from r group by 1""")
 def crawl_frontier(t):
-    at = lambda c: F.concat(F.lit("https://a.example/p/"), c.cast("string"))
-    i = F.col("doc_id")
-    links = t.documents.select(at(i).alias("source"), F.explode(F.array(i * 2, i * 2 + 1)).alias("to")).where("to % 7 <> 0").select("source", at(F.col("to")).alias("target"))
-    starts = t.documents.sparkSession.createDataFrame([("https://a.example/p/1",)], "url string")
-    return frontier.crawl(links, starts, 8, domains=["a.example"], include=["https://a.example/**"])
+    links = t.documents.where("parent_url is not null and url is not null").select(F.col("parent_url").alias("source"), F.col("url").alias("target"))
+    return frontier.crawl(links, t.documents.where("parent_url is null and url is not null").select("url"), 8)
 
 
 @query("""select doc_id, regexp_matches(url, '^https://[^/]*/guide/.*$') and not regexp_matches(url, '^.*cache.*$') as ok from documents""")
 def url_scope(t):
     return t.documents.select("doc_id", frontier.in_scope(F.col("url"), include=["https://*/guide/**"], exclude=["**cache**"]).alias("ok"))
+
+
+# ---- jobs -------------------------------------------------------------------------------------------
+
+
+@query(f"""select id, name, version, status, 'crawl' as kind, (select count(*) from documents where crawl_job_id = '{JOB}') as document_count, (select count(*) from code_snippets where document_id in (select doc_id from documents where crawl_job_id = '{JOB}')) as snippet_count from crawl_jobs where id = '{JOB}'""")
+def source_by_id(t):
+    return jobs.source(t, JOB)
+
+
+@query("select id, name, status, file_count, processed_files, case when file_count > 0 then round_even(processed_files * 100.0::double / file_count, 1) else 0.0 end as percent, error_message from upload_jobs")
+def upload_status(t):
+    return jobs.upload_status(t)
+
+
+@query("select id, try_cast(case when regexp_matches(trim(cast(id as varchar)), '^[0-9]+$') then trim(cast(id as varchar)) end as bigint) as parsed, cast(null as bigint) as negative, cast(null as bigint) as word from code_snippets")
+def snippet_ids_checked(t):
+    i = F.col("id").cast("string")
+    return t.snippets.select("id", jobs.snippet_id(F.concat(F.lit(" "), i, F.lit(" "))).alias("parsed"), jobs.snippet_id(F.concat(F.lit("-"), i)).alias("negative"), jobs.snippet_id(F.concat(F.lit("x"), i)).alias("word"))
+
+
+@query(r"select id, regexp_matches(id, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') as ok from crawl_jobs")
+def source_ids_checked(t):
+    return t.crawl_jobs.select("id", jobs.is_source_id(F.col("id")).alias("ok"))
+
+
+@query("""with f as (select crawl_job_id as id, count(*) as n from failed_pages group by 1)
+select j.id as retry_of, name, version, start_urls, max_depth, try_cast(json_extract_string(config, '$.max_pages') as int) as max_pages, domain_restrictions, coalesce(n, 0) as failed from crawl_jobs j left join f on f.id = j.id""")
+def retry_jobs(t):
+    return jobs.retry_jobs(t).withColumn("failed", F.get_json_object("metadata", "$.failed_pages_count").cast("bigint")).drop("metadata")
+
+
+@query(f"""select id as retry_of, case when id = '{JOB}' then ['https://a.example/1', 'https://a.example/2'] else start_urls end as start_urls, case when id = '{JOB}' then 0 else max_depth end as max_depth, case when id = '{JOB}' then 2 else try_cast(json_extract_string(config, '$.max_pages') as int) end as max_pages from crawl_jobs""")
+def retry_addresses(t):
+    return jobs.retry_jobs(t, {JOB: ["https://a.example/1", "https://a.example/2"]}).select("retry_of", "start_urls", "max_depth", "max_pages")
+
+
+@query("select distinct crawl_job_id, url, 0 as max_depth from failed_pages where crawl_job_id in (select id from crawl_jobs)")
+def failed_to_retry(t):
+    return jobs.failed_to_retry(t)
+
+
+@query("""with c as (select *, try_cast(json_extract_string(config, '$.max_pages') as int) as p, coalesce(try_cast(json_extract_string(config, '$.max_concurrent_crawls') as int), 5) as m, coalesce(cast(json_extract(config, '$.url_patterns') as varchar[]), cast(json_extract(config, '$.include_patterns') as varchar[]), []) as u from crawl_jobs where status = 'completed')
+select id, name, '9.9' as version, case when list_contains(u, '**/new/**') then u else u || ['**/new/**'] end as url_patterns, ['**/old/**'] as exclude_patterns, 7 as max_depth, p as max_pages, m as concurrent from c""")
+def update_crawls(t):
+    return jobs.update_crawls(t, ["**/new/**"], ["**/old/**"], max_depth=7, version="9.9").drop("changes")
+
+
+@query("select id, name, start_urls, max_depth, try_cast(json_extract_string(config, '$.max_pages') as int) as max_pages from crawl_jobs where status = 'completed'")
+def recrawls(t):
+    return jobs.recrawls(t).drop("metadata")
+
+
+@query("""with h as (select crawl_job_id as id, count(*) as d, coalesce(sum((select count(*) from code_snippets s where s.document_id = doc_id)), 0) as n from documents where crawl_job_id is not null group by 1)
+select j.id, coalesce(d, 0) as processed_pages, cast(coalesce(n, 0) as bigint) as snippets_extracted, cast(coalesce(n, 0) as bigint) as base_snippets from crawl_jobs j left join h on h.id = j.id""")
+def resumed_counters(t):
+    return jobs.reset_counters(t.crawl_jobs, t.documents, t.snippets, True)
+
+
+@query("select id, name, version from crawl_jobs where contains(lower(name), 'o') or contains(lower(version), 'o') order by name, id limit 50")
+def sources_by_substring(t):
+    return jobs.filter_names(t.crawl_jobs.select("id", "name", "version"), "O", ["name", "version"], 50)
+
+
+@query("select crawl_job_id as concurrency, count(*) as requests, avg(processed) as mean_s, quantile_cont(processed, 0.95) as p95_s, quantile_cont(processed, 0.99) as p99_s, avg(case when phase is null then 1.0 else 0.0 end) * 100 as error_percent from crawl_heartbeats group by 1")
+def request_metrics(t):
+    r = t.heartbeats.select(F.col("crawl_job_id").alias("concurrency"), F.col("processed").alias("seconds"), F.col("phase").isNull().alias("failed"))
+    return jobs.request_metrics(r)

@@ -36,7 +36,7 @@ def value(spark, f, v):
         (text.normalize_space, "a   b\n\n\n\n c ", "a b\n\nc"),
         (text.strip_front_matter, "---\na: 1\n---\nbody", "body"),
         (text.strip_front_matter, "body\n---\nx\n---\n", "body\n---\nx\n---\n"),
-        (text.domain_of, "HTTPS://A.example:80/x", "https:"),
+        (text.domain_of, "HTTPS://A.example:80/x", "a.example:80"),
         (text.domain_of, "https://User@A.Example:80/x", "user@a.example:80"),
         (text.domain_of, "a.example/x", "a.example"),
         (text.domain_of, "nothing", None),

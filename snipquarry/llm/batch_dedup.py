@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from .common import SKETCH_BITS, count_sketch, hash_tokens, runs, words
-from .sets import SIMILARITY_TENTHS, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
+from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, similar, sizes_allow, sketch_of, to_grams
 
 RUN = 5
 MIN_WORDS = 50
@@ -160,14 +160,58 @@ def page_hashes(df: DataFrame, doc: str = "doc_id", batch: str = "batch_no", url
     return rows.mapInArrow(run, _PAGE_DDL)
 
 
+def _heads(texts: DataFrame) -> DataFrame:
+    """(h, part, key, m, w): the marks (w null) and paragraphs (w words) of texts, grouped by each task.
+
+    A passage keeps the least key of each of FIRST_HOLDERS parts. Of a paragraph the least holder is kept (part
+    -1), as common ones only add to a pair's coverage. m is the number of holders.
+    """
+    schema = pa.schema([("h", pa.int64()), ("part", pa.int32()), ("key", pa.int64()), ("m", pa.int64()), ("w", pa.int32())])
+    parts = FIRST_HOLDERS
+
+    def flat(column: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        offsets = column.offsets.to_numpy()
+        return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.repeat(keys, np.diff(offsets))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def grouped() -> pa.RecordBatch:
+            h, part, key, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((key, part, h))
+            h, part, key, w = h[order], part[order], key[order], w[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]))))
+            m = np.diff(np.append(first, len(h)))
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(part[first], pa.int32()), pa.array(key[first]), pa.array(m, pa.int64()), pa.array(w[first], pa.int32(), mask=w[first] < 0)], schema=schema)
+
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            h, k = flat(b.column(1), keys)
+            held.append((h, ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts, k, np.full(len(h), -1)))
+            n += len(h)
+            h, k = flat(b.column(2), keys)
+            held.append((h, np.full(len(h), -1), k, flat(b.column(3), keys)[0].astype(np.int64)))
+            n += len(h)
+            if n >= FLUSH:
+                yield grouped()
+                held, n = [], 0
+        if n:
+            yield grouped()
+
+    return texts.select("key", "marks", "paragraphs", "weights").mapInArrow(run, "h long, part int, key long, m long, w int")
+
+
 #: Tables of a history: columns, and what they are bucketed by.
 _TABLES = {
     "keys": ("k bigint", "k"),
     "posts": ("h bigint, key bigint, w int", "h"),
     "crowded": ("h bigint", "h"),
     "prefixes": ("h int, key bigint", "h"),
-    "texts": ("key bigint, batch_no int, doc_id bigint, n int, words int, sketch array<bigint>, grams array<int>", "key"),
+    "texts": ("key bigint, batch_no int, doc_id bigint, n int, words int, sketch array<bigint>", "key"),
+    "sets": ("key bigint, grams array<int>", None),
 }
+#: Postings that a task groups before it sends them on.
+FLUSH = 500_000
 
 
 class History:
@@ -193,7 +237,7 @@ class History:
             self.buckets, self.tenths = about["buckets"], about["tenths"]
             self.order, self.rarity = (np.frombuffer(about[c], dtype=np.uint32) for c in ("passages", "runs"))
         for table, (columns, by) in _TABLES.items():
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{table}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet OPTIONS (compression 'zstd') {f'CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS' if by else ''} LOCATION '{self.path}/{table}'")
 
     def close(self) -> None:
         """Forget the tables' names; the folder stays."""
@@ -220,7 +264,7 @@ class History:
     def _append(self, table: str, df: DataFrame) -> None:
         """One task and so one file per bucket."""
         columns, by = _TABLES[table]
-        df.repartition(self.buckets, by).select([c.split()[0] for c in columns.split(", ")]).write.mode("append").insertInto(f"{self.name}_{table}")
+        (df.repartition(self.buckets, by) if by else df).select([c.split()[0] for c in columns.split(", ")]).write.mode("append").insertInto(f"{self.name}_{table}")
 
     def _table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
@@ -243,11 +287,10 @@ class History:
         texts = pages.where("key is not null").join(copies.withColumnRenamed("k", "key"), ["doc_id", "key"], "left_anti")
         texts = materialize(texts.drop("exact"), "texts")
         self._append("texts", texts)
+        self._append("sets", texts)
         marks = texts.select("key", F.explode("marks").alias("h"), F.lit(None).cast("int").alias("w"))
-        paragraphs = texts.select("key", F.inline(F.arrays_zip(F.col("paragraphs").alias("h"), F.col("weights").alias("w"))))
-        # of a paragraph the least holder is kept: common ones only add to a pair's coverage
-        part = F.when(F.col("w").isNull(), F.pmod(F.xxhash64("key"), F.lit(FIRST_HOLDERS))).otherwise(F.lit(-1)).alias("part")
-        heads = marks.unionByName(paragraphs).groupBy("h", part).agg(F.min("key").alias("key"), F.count("*").alias("m"), F.max("w").alias("w"))
+        # grouped by each task before they are sent on, so no passage is hot
+        heads = _heads(texts).repartition(self.buckets, "h").groupBy("h", "part").agg(F.min("key").alias("key"), F.sum("m").alias("m"), F.max("w").alias("w"))
         heads = materialize(heads, "heads")
         self._append("posts", heads)
         full = materialize(heads.where("m > 1 and w is null").select("h").distinct(), "crowded")
@@ -271,7 +314,7 @@ class History:
         return found.unionByName(near.select("doc_id", F.lit("near").alias("reason"), "coverage"))
 
     def _prefixes(self, texts: DataFrame) -> DataFrame:
-        return prefix_postings(texts.select("key", "grams"), self.rarity, ["key"], self.tenths)
+        return prefix_postings(texts.select("key", "grams"), self.rarity, ["key"], self.tenths).drop("most")
 
     def _settle(self, pairs: DataFrame) -> DataFrame:
         """(doc_id, coverage) of the texts in ``mine`` with an earlier text alike: pairs pass the bounds on size, order
@@ -283,7 +326,7 @@ class History:
         both = pairs.join(about, "key").join(own, "mine").where((F.col("at") < F.col("my_at")) & sizes_allow(F.col("n"), F.col("my_n"), t) & (differ * (10 + t) <= (F.col("n") + F.col("my_n")) * (10 - t)))
         left = materialize(both.select("mine", "key", F.col("my_at.doc_id").alias("doc_id"), F.least(F.col("shared") / F.col("my_words"), F.lit(1.0)).alias("coverage")), "open")
         named = materialize(left.select(F.explode(F.array("mine", "key")).alias("key")).distinct(), "named")
-        sets = materialize(self._table("texts").select("key", "grams").join(named, "key", "left_semi"), "sets")
+        sets = materialize(keep_keys(self._table("sets"), named).join(named, "key", "left_semi"), "sets")
         tested = left.join(sets.withColumnRenamed("grams", "g"), "key").join(sets.withColumnRenamed("key", "mine"), "mine").where(similar("g", "grams", t))
         return tested.groupBy("doc_id").agg(F.max("coverage").alias("coverage"))
 

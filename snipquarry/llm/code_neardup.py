@@ -2,7 +2,7 @@
 
 Method: BK-trees whose children are keyed by the integer Hamming distance to the parent, following
 only edges within the radius. The Hamming distance is that of parity sketches (each element of a set
-flips one of 512 bits), which never exceeds the size of the symmetric difference; so a radius derived
+flips one of 256 bits), which never exceeds the size of the symmetric difference; so a radius derived
 from the Jaccard threshold loses no pair. One tree over the corpus would prune nothing at this radius
 and would grow with the data, so trees are built per shard: a shard holds the snippets that share one
 element of their rarest-first prefix, and any pair over the threshold meets in some shard. Trees are
@@ -25,15 +25,17 @@ from .sets import SIMILARITY_TENTHS, keep_keys, prefix_postings, set_key, simila
 
 RUN = 4
 MIN_TOKENS = 25
-BITS = 512
+BITS = 256
 #: A larger shard is cut into blocks of about this many, and every two blocks meet in a task of their own.
 SHARD_BLOCK = 2000
+#: Elements that more rows may hold than this are never brought together in one task.
+HOT = 50_000
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
-    bits = np.bincount((grams.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 9), minlength=BITS) & 1
+    bits = np.bincount((grams.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 8), minlength=BITS) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -122,10 +124,13 @@ def _ask(tree: BKTree, value: int, n: int, key: int, tenths: int) -> Iterator[tu
 def class_pairs(prints: DataFrame, tenths: int = SIMILARITY_TENTHS) -> DataFrame:
     """(key_a, key_b), key_a < key_b: distinct run sets with Jaccard >= tenths / 10. ``prints`` must be materialised."""
     posts = prefix_postings(prints, sketch_of(prints), ["key"], tenths, once_per="key")
-    posts = posts.repartition("h").dropDuplicates(["h", "key"])  # one exchange serves both this and the count
-    shards = posts.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where("m > 1")
+    # elements that may be hot by the sketch's bound are cut into blocks at once; of the others, where no element has
+    # more rows than that bound, one exchange serves the removal of repeats and the count
+    mild = posts.where(F.col("most") <= HOT).select("h", "key").repartition("h").dropDuplicates(["h", "key"])
+    mild = mild.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where("m > 1")
+    hot = posts.where(F.col("most") > HOT).dropDuplicates(["h", "key"]).select("h", "key", F.col("most").alias("m"))
     sketches = prints.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first(F.size("grams")).alias("n"))
-    tasks = shards.join(sketches, "key")
+    tasks = mild.unionByName(hot).join(sketches, "key")
     # block x of a large shard meets every block y: the lower fills the tree, the higher asks
     blocks = F.ceil(F.col("m") / SHARD_BLOCK).cast("int")
     tasks = tasks.withColumn("x", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))

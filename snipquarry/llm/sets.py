@@ -2,7 +2,8 @@
 
 For a threshold t, two sets with Jaccard >= t share an element among the first
 n - ceil(t n) + 1 elements of each under any one total order. The order used here is rarest first by a
-count sketch of fixed size over all rows; the sketch only affects speed, never the result.
+count sketch over all rows, of a size that follows the number of elements up to 2**MOST_BITS counters; the
+sketch only affects speed, never the result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SKETCH_BITS, count_sketch
 
+#: The largest sketch: 2**22 counters are 16 MiB.
+MOST_BITS = 22
 #: Thresholds are held as tenths, so that comparisons stay in whole numbers.
 SIMILARITY_TENTHS = 7
 
@@ -38,25 +41,28 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_of(df: DataFrame, grams: str = "grams") -> np.ndarray:
-    shift = np.uint32(32 - SKETCH_BITS)
+    """Counts of elements, about sixteen to a counter unless that takes more than 2**MOST_BITS of them."""
+    total = df.agg(F.sum(F.size(grams).cast("long"))).first()[0] or 0
+    bits = max(SKETCH_BITS, min(MOST_BITS, (total // 16).bit_length()))
+    shift = np.uint32(32 - bits)
 
     def slots(batch: pa.RecordBatch) -> np.ndarray:
         values, _ = _flat(batch.column(0))
         return (values.view(np.uint32) >> shift).astype(np.int64)
 
-    return count_sketch(df.select(grams), slots)
+    return count_sketch(df.select(grams), slots, bits)
 
 
 def prefix_postings(df: DataFrame, sketch: np.ndarray, carry: list[str], tenths: int = SIMILARITY_TENTHS, once_per: str | None = None) -> DataFrame:
-    """(h, *carry): the rarest-first prefix of every row's ``grams``.
+    """(h, most, *carry): the rarest-first prefix of every row's ``grams``, and a bound on how many rows hold h.
 
     ``carry`` names long columns to repeat. With ``once_per``, rows of a partition with equal values
     there give postings once, so that copies of one text are pre-aggregated before any shuffle.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)  # 4 bytes x 2**SKETCH_BITS, whatever the data
-    shift = np.uint32(32 - SKETCH_BITS)
-    schema = pa.schema([("h", pa.int32()), *((c, pa.int64()) for c in carry)])
+    shared = spark.sparkContext.broadcast(sketch)  # at most 16 MiB, see MOST_BITS
+    shift = np.uint32(32 - (len(sketch).bit_length() - 1))
+    schema = pa.schema([("h", pa.int32()), ("most", pa.int64()), *((c, pa.int64()) for c in carry)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -75,12 +81,13 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, carry: list[str], tenths:
             take = rank < np.repeat(sizes - (sizes * tenths + 9) // 10 + 1, sizes)
             picked = order[take]
             rows = row[picked]
-            columns = [pa.array(values[picked], pa.int32())]
+            h = values[picked]
+            columns = [pa.array(h, pa.int32()), pa.array(counts[h.view(np.uint32) >> shift].astype(np.int64))]
             columns += [b.column(c).take(pa.array(rows)) for c in carry]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     cols = [F.col("grams"), *(F.col(c).cast("long") for c in carry)] + ([F.col(once_per).alias("_once")] if once_per else [])
-    return df.where(F.size("grams") > 0).select(*cols).mapInArrow(run, "h int" + "".join(f", {c} long" for c in carry))
+    return df.where(F.size("grams") > 0).select(*cols).mapInArrow(run, "h int, most long" + "".join(f", {c} long" for c in carry))
 
 
 def sizes_allow(a: Column, b: Column, tenths: int = SIMILARITY_TENTHS) -> Column:

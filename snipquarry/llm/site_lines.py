@@ -43,7 +43,7 @@ def line_statistics(df: DataFrame, source: str = "crawl_job_id", doc: str = "doc
     sizes = d.groupBy("s").agg(F.count("*").alias("rows"))
     # hash each line once and drop repeats within the page before anything is exploded or shuffled
     keys = d.select("s", F.explode(F.array_distinct(F.transform(F.split("body", "\n"), line_key))).alias("k")).where("k is not null")
-    counts = keys.groupBy("s", "k").agg(F.count("*").alias("pages"))
+    counts = materialize(keys.groupBy("s", "k").agg(F.count("*").alias("pages")), "line-counts")
     per_source = counts.groupBy("s").agg(F.count("*").alias("kinds"))
     found = counts.where(F.col("pages") >= MIN_PAGES)
     # a key's pages in all sources, for the keys in question only

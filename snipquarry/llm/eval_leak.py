@@ -25,16 +25,19 @@ BLOCK_CHARS = 8_000_000
 
 
 class ItemIndex:
-    """Windows of a block of items, and the rarest shingle of each."""
+    """Windows of a block of items, and the rarest shingle of each, in arrays: about 40 bytes a window."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.tokens = {i: w for i, t in items if (w := words(t))}
-        self.hashes = {i: hash_tokens(w) for i, w in self.tokens.items()}
+        self.texts = {i: t for i, t in items if words(t)}
+        self._words: dict[int, list[str]] = {}
+
+    def _hashes(self) -> Iterator[tuple[int, np.ndarray]]:
+        return ((i, hash_tokens(words(t))) for i, t in self.texts.items())
 
     def shingles(self) -> dict[int, np.ndarray]:
         """Distinct shingle hashes by shingle length; very short items are their own shingle."""
         out: dict[int, list[np.ndarray]] = {}
-        for h in self.hashes.values():
+        for _, h in self._hashes():
             k = min(SHINGLE, len(h))
             out.setdefault(k, []).append(runs(h, k))
         return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
@@ -42,24 +45,18 @@ class ItemIndex:
     def build(self, counts: dict[int, np.ndarray]) -> None:
         """Choose prefixes by the counts of ``shingles()`` in the corpus."""
         names = self.shingles()
-        self.prefix: dict[int, np.ndarray] = {}
-        self.at: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (k, shingle) → (offset, run length)
-        self.windows: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (run length, run) → (item, position)
-        chosen: dict[int, set[int]] = {}
-        for i, h in self.hashes.items():
+        windows: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by run length: run, item, position
+        prefixes: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by shingle length: shingle, offset, run length
+        for i, h in self._hashes():
             size, k = min(RUN, len(h)), min(SHINGLE, len(h))
             grams, whole = runs(h, k), runs(h, size)
             rare = counts[k][np.searchsorted(names[k], grams)]
-            for p in range(len(whole)):
-                self.windows.setdefault((size, int(whole[p])), []).append((i, p))
-                span = rare[p : p + size - k + 1]
-                offset = int(np.argmin(span))
-                g = int(grams[p + offset])
-                chosen.setdefault(k, set()).add(g)
-                places = self.at.setdefault((k, g), [])
-                if (offset, size) not in places:
-                    places.append((offset, size))
-        self.prefix = {k: np.array(sorted(v), dtype=np.uint64) for k, v in chosen.items()}
+            offset = np.lib.stride_tricks.sliding_window_view(rare, size - k + 1).argmin(axis=1)
+            at = np.arange(len(whole))
+            windows.setdefault(size, []).append((whole, np.full(len(whole), i), at))
+            prefixes.setdefault(k, []).append((grams[at + offset], offset, np.full(len(whole), size)))
+        self.windows = {size: _by_first(parts) for size, parts in windows.items()}
+        self.prefixes = {k: _by_first(parts, distinct=True) for k, parts in prefixes.items()}
 
     def held_by(self, text: str | None) -> set[int]:
         tokens = words(text)
@@ -68,23 +65,45 @@ class ItemIndex:
             return found
         h = hash_tokens(tokens)
         runs_of: dict[int, np.ndarray] = {}
-        for k, wanted in self.prefix.items():
+        for k, (wanted, offsets, sizes) in self.prefixes.items():
             grams = runs(h, k)
             if not len(grams):
                 continue
-            slot = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
-            for p in np.flatnonzero(wanted[slot] == grams):
-                for offset, size in self.at[k, int(grams[p])]:
-                    start = int(p) - offset
+            first, last = np.searchsorted(wanted, grams), np.searchsorted(wanted, grams, side="right")
+            for p in np.flatnonzero(last > first):
+                for place in range(first[p], last[p]):
+                    start, size = int(p) - int(offsets[place]), int(sizes[place])
                     if start < 0 or start + size > len(tokens):
                         continue
                     if size not in runs_of:
                         runs_of[size] = runs(h, size)
-                    for item, pos in self.windows.get((size, int(runs_of[size][start])), ()):
-                        if item not in found and tokens[start : start + size] == self.tokens[item][pos : pos + size]:
-                            found.add(item)
+                    whole, item, position = self.windows[size]
+                    a, b = (int(np.searchsorted(whole, runs_of[size][start], side=side)) for side in ("left", "right"))
+                    for w in range(a, b):
+                        i, at = int(item[w]), int(position[w])
+                        if i not in found and tokens[start : start + size] == self._item(i)[at : at + size]:
+                            found.add(i)
         return found
 
+    def _item(self, i: int) -> list[str]:
+        """The words of an item that a page may hold; few items are asked for."""
+        if i not in self._words:
+            if len(self._words) > 10_000:
+                self._words.clear()
+            self._words[i] = words(self.texts[i])
+        return self._words[i]
+
+
+def _by_first(parts: list[tuple[np.ndarray, ...]], distinct: bool = False) -> tuple[np.ndarray, ...]:
+    """Parallel arrays joined and sorted by the first; with ``distinct`` equal rows stand once."""
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort(columns[::-1])
+    columns = [columns[0][order], *(c[order].astype(np.int32) for c in columns[1:])]
+    if distinct:
+        new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+        columns = [c[new] for c in columns]
+    return tuple(columns)
+
 
 def _shingle_counts(docs: DataFrame, names: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """Occurrences of the items' shingles in all texts."""

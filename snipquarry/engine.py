@@ -34,11 +34,11 @@ class Engine:
             return got
         ids = [got["id"]]
         offset = (page - 1) * limit
-        hits = search.search(self.t, query, ids, limit=limit, offset=offset) if query_tokens(query) else search.search_direct(self.t, "", limit, offset, source_ids=ids).select("id", F.lit(0).alias("phase"), "rank")
+        hits = search.search(self.t, query, ids, limit=limit, offset=offset, stems=True) if query_tokens(query) else search.search_direct(self.t, "", limit, offset, source_ids=ids).select("id", F.lit(0).alias("phase"), "rank")
         shown = search.with_code(self.t, chunking.result_cap(hits))
         text = F.when(F.col("cap") == 2000, format_snippet(*map(F.col, ("title", "description", "source_url", "language", "code_content")), tokens=2000)).otherwise(format_snippet(*map(F.col, ("title", "description", "source_url", "language", "code_content")), tokens=500))
         rows = shown.orderBy("phase", F.desc("rank"), "id").select(text.alias("text")).collect()  # one page
-        total = search.search_total(self.t, query, ids, limit=limit).first()["total"] if query_tokens(query) else search.scoped(self.t, ids).count()
+        total = search.search_total(self.t, query, ids, limit=limit, stems=True).first()["total"] if query_tokens(query) else search.scoped(self.t, ids).count()
         header = f"Found {total} results (showing page {page}: {len(rows)})"
         return {"status": "ok", "total": total, "text": "\n".join([header, *[r["text"] for r in rows]])}
 

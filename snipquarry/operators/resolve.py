@@ -75,3 +75,18 @@ def explain_matches(t: Tables, query: str) -> DataFrame:
     low = query.lower()
     kind = F.when(F.lower("name") == low, "exact").when(F.contains(F.lower("name"), F.lit(low)), "contains").otherwise("similarity")
     return libraries(t, query).select("job_id", "name", kind.alias("match"), F.when(F.lower("name") == low, 100).otherwise(F.bround(F.col("name_similarity") * 100, 0).cast("int")).alias("confidence"), (F.col("snippet_count") < 10).alias("few_snippets"))
+
+
+def count_libraries(t: Tables, query: str = "") -> DataFrame:
+    """(n): how many sources ``search_libraries`` goes through."""
+    return libraries(t, query).agg(F.count("*").alias("n"))
+
+
+def best_and_others(t: Tables, query: str, others: int = 4) -> DataFrame:
+    """(place, job_id, name, match, confidence, few_snippets): the best match, place 0, and the next ones."""
+    from pyspark.sql import Window
+
+    found = search_libraries(t, query, limit=1 + others)
+    order = Window.orderBy("exact", F.desc(F.greatest("name_similarity", "domain_similarity")), F.desc("snippet_count"), "name", "job_id")
+    place = libraries(t, query).join(F.broadcast(found.select("job_id")), "job_id", "left_semi").select("job_id", (F.row_number().over(order) - 1).alias("place"))  # at most 1 + others rows
+    return explain_matches(t, query).join(F.broadcast(place), "job_id").select("place", "job_id", "name", "match", "confidence", "few_snippets")

@@ -188,3 +188,68 @@ def sections(t: Tables, query: str, budget: int = 500) -> DataFrame:
     hits = parts.where(F.contains(F.lower("section"), F.lit(query.lower())))
     run = F.sum(count_tokens(F.col("section"))).over(Window.partitionBy("doc_id").orderBy("section_no"))
     return hits.withColumn("used", run).where(F.col("used") <= budget).select("doc_id", "section_no", "section", "used")
+
+
+def section_digests(t: Tables, query: str, budget: int = 2048) -> DataFrame:
+    """(doc_id, text): per page its sections that hold the query, up to a token budget, with a notice of what is left out.
+
+    A first section over the budget is cut. Pages that hold the query's words, but in no section as it stands,
+    give excerpts around them.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.text import count_tokens
+    from .chunking import headlines
+
+    q = F.lit(query.lower())
+    pages = t.documents.where(F.contains(F.lower("markdown_content"), q)).select("doc_id", F.posexplode(F.split("markdown_content", r"\n(?=#+ )")).alias("no", "section"))
+    run = F.sum(count_tokens(F.col("section"))).over(Window.partitionBy("doc_id").orderBy("no"))  # a page's sections
+    hits = pages.where(F.contains(F.lower("section"), q)).withColumn("used", run)
+    fits = F.col("used") <= budget
+    per = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(fits, F.struct("no", "section")))).alias("kept"), F.min(F.when(~fits, F.struct("no", "section"))).alias("over"))
+    kept = F.array_join(F.col("kept.section"), "\n\n")
+    cut = F.concat(F.substring("over.section", 1, 4 * budget), F.lit("\n\n[Section truncated to fit token limit...]"))
+    text = F.when(F.col("over").isNull(), kept).when(F.size("kept") == 0, cut).otherwise(F.concat(kept, F.lit("\n\n[1 more matching sections omitted due to token limit]")))
+    out = per.select("doc_id", text.alias("text"))
+    rest = t.documents.join(out.select("doc_id"), "doc_id", "left_anti")
+    return out.unionByName(headlines(rest, "doc_id", "markdown_content", query, before="", after="", most=max(1, budget // 2)).select(F.col("id").alias("doc_id"), F.col("excerpt").alias("text")))
+
+
+def ranked_excerpts(t: Tables, query: str, limit: int = 5, length: int = 200) -> DataFrame:
+    """(doc_id, rank, excerpt, headline): the best pages with an excerpt around the query's words and short marked fragments."""
+    from .chunking import headlines
+
+    best = materialize(search_pages(t, query, limit=limit).select("doc_id", "rank"), "pages")
+    d = t.documents.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")  # at most limit rows
+    long = headlines(d, "doc_id", "markdown_content", query, fragments=1, most=length, before="<<<", after=">>>").withColumnRenamed("id", "doc_id")
+    short = headlines(d, "doc_id", "markdown_content", query, fragments=3, most=50).select(F.col("id").alias("doc_id"), F.col("excerpt").alias("headline"))
+    return best.join(long, "doc_id", "left").join(short, "doc_id", "left")
+
+
+def with_relationships(t: Tables, query: str, limit: int = 20, **scope) -> DataFrame:
+    """(id, rank, is_primary, contexts): direct hits, and where they leave room the snippets related to them."""
+    primary = materialize(direct(t, query, **scope).orderBy(F.desc("rank"), "id").limit(limit).select("id", "rank"), "hits")
+    room = limit - primary.count()  # at most limit rows
+    near = related_contexts(t, primary.select("id")).join(scoped(t, **scope).select("id"), "id", "left_semi").orderBy("id").limit(room)
+    out = primary.select("id", "rank", F.lit(True).alias("is_primary"), F.lit(None).cast("string").alias("contexts"))
+    return out.unionByName(near.select("id", F.lit(0).cast("long").alias("rank"), F.lit(False).alias("is_primary"), "contexts"))
+
+
+def trigram_postings(snippets: DataFrame) -> DataFrame:
+    """(gram, id, n): the distinct trigrams of every snippet's code and their number, to be stored sorted by gram."""
+    grams = F.coalesce(sim.trigrams(F.col("code_content")), F.array().cast("array<string>"))
+    return snippets.select("id", grams.alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("gram")).select("gram", "id", "n")
+
+
+def similar_by_postings(index: DataFrame, code: str, least: float = 0.1, limit: int = 10) -> DataFrame:
+    """(id, score): the snippets of ``similar_code``, from the trigram postings of the given code's trigrams only."""
+    wanted = index.sparkSession.range(1).select(sim.trigrams(F.lit(code)).alias("g")).first()["g"] or []
+    both = F.count("*")
+    hits = index.where(F.col("gram").isin(wanted)).groupBy("id").agg((both / (F.max("n") + len(wanted) - both)).alias("score"))
+    return hits.orderBy(F.desc("score"), "id").limit(limit).where(F.col("score") > least)
+
+
+def store_postings(index: DataFrame, path: str, by: str) -> DataFrame:
+    """Write an index sorted by its term, so that a query reads few row groups, and read it back."""
+    index.repartitionByRange(by).sortWithinPartitions(by).write.option("parquet.block.size", 16 << 20).parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)

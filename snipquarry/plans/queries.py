@@ -188,6 +188,31 @@ def similar_code(t):
     return search.similar_code(t, "def open_cache(buffer): return buffer.read()")
 
 
+@query(f"select id, {_sim('code_content', chr(39) + 'def open_cache(buffer): return buffer.read()' + chr(39))} as score from code_snippets where score > 0.1 order by score desc, id limit 10")
+def similar_code_by_postings(t):
+    return search.similar_by_postings(search.trigram_postings(t.snippets), "def open_cache(buffer): return buffer.read()")
+
+
+@query(f"""with {NEIGHBOURS}, p as (select id, rank from ({DIRECT}) order by rank desc, id limit 20)
+select id, rank, true as is_primary from p union all (select distinct related_snippet_id, 0::bigint, false from nb join code_snippets s on s.id = related_snippet_id where snippet_id in (select id from p) and related_snippet_id not in (select id from p) order by 1 limit (select 20 - count(*) from p))""")
+def search_with_relationships(t):
+    return search.with_relationships(t, "cache buffer").drop("contexts")
+
+
+@query(f"select doc_id, rank from ({_pages('socket pager', 5)})")
+def ranked_excerpts(t):
+    return search.ranked_excerpts(t, "socket pager").select("doc_id", "rank")
+
+
+@query("""with p as (select doc_id, string_split(regexp_replace(markdown_content, '\\n(#+ )', chr(10) || chr(1) || '\\1', 'g'), chr(10) || chr(1)) as a from documents where contains(lower(markdown_content), 'cache')),
+x as (select doc_id, unnest(range(1, len(a) + 1)) as no, a from p), h as (select doc_id, no, a[no] as sec from x where contains(lower(a[no]), 'cache')),
+u as (select *, sum(length(sec) // 4) over (partition by doc_id order by no) as used from h),
+g as (select doc_id, string_agg(sec, chr(10) || chr(10) order by no) filter (used <= 300) as kept, arg_min(sec, no) filter (used > 300) as over_ from u group by 1)
+select doc_id, case when over_ is null then kept when kept is null then substr(over_, 1, 1200) || chr(10) || chr(10) || '[Section truncated to fit token limit...]' else kept || chr(10) || chr(10) || '[1 more matching sections omitted due to token limit]' end as text from g""")
+def section_digests(t):
+    return search.section_digests(t, "cache", 300)
+
+
 @query()
 def page_headlines(t):
     return chunking.headlines(t.documents, "doc_id", "markdown_content", "socket pager")
@@ -210,6 +235,11 @@ def list_libraries(t):
     return resolve.search_libraries(t)
 
 
+@query(LIBS + " select count(*) as n from f")
+def count_libraries(t):
+    return resolve.count_libraries(t, "dabopa")
+
+
 @query(LIBS + " select job_id, name, case when lower(name) = 'dabopa' then 'exact' when contains(lower(name), 'dabopa') then 'contains' else 'similarity' end as match, case when lower(name) = 'dabopa' then 100 else cast(round_even(name_similarity * 100, 0) as int) end as confidence, snippet_count < 10 as few_snippets from f")
 def explain_matches(t):
     return resolve.explain_matches(t, "dabopa")
@@ -794,3 +824,25 @@ def sources_by_substring(t):
 def request_metrics(t):
     r = t.heartbeats.select(F.col("crawl_job_id").alias("concurrency"), F.col("processed").alias("seconds"), F.col("phase").isNull().alias("failed"))
     return jobs.request_metrics(r)
+
+
+@query(f"""with {_BEATS}, p as (select crawl_job_id, max(processed) as m from b group by 1)
+select id as crawl_job_id, case when status = 'completed' and error_message is null then 'completed' else 'failed' end as event, greatest(coalesce(processed_pages, 0)::bigint, coalesce(m, 0)) as processed, snippets_extracted::bigint as snippets_extracted, cast(trunc(date_diff('microsecond', started_at, completed_at) / 1000000.0) as bigint) as seconds, error_message
+from crawl_jobs left join p on p.crawl_job_id = id where status in ('completed', 'failed', 'cancelled')""")
+def completion_events(t):
+    return live.completions(t.crawl_jobs, t.heartbeats)
+
+
+@query("""with e as (select crawl_job_id, url from failed_pages), s as (select 'c' || (row_number() over (order by id) % 3) as client, id as crawl_job_id from crawl_jobs)
+select client, e.crawl_job_id, url from e join s using (crawl_job_id) union all select 'all', crawl_job_id, url from e""")
+def subscribed_events(t):
+    from pyspark.sql import Window
+
+    every = t.crawl_jobs.sparkSession.createDataFrame([("all", None)], "client string, crawl_job_id string")
+    own = t.crawl_jobs.select(F.concat(F.lit("c"), (F.row_number().over(Window.orderBy("id")) % 3).cast("string")).alias("client"), F.col("id").alias("crawl_job_id"))
+    return live.for_subscribers(t.failed_pages.select("crawl_job_id", "url"), own.unionByName(every))
+
+
+@query("select id, coalesce(status in ('running', 'pending'), false) as active from crawl_jobs")
+def active_jobs(t):
+    return live.active(t.crawl_jobs)

@@ -13,6 +13,8 @@ from ..functions import clock
 HEARTBEATS = "crawl_job_id string, ts timestamp_ntz, received_at timestamp_ntz, phase string, processed bigint"
 EVERY = 3
 LATE = "2 days"
+#: A job that sends nothing for so long is over.
+QUIET_MS = 2 * 24 * 3600 * 1000
 
 
 def progress(beats: DataFrame) -> DataFrame:
@@ -58,20 +60,29 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 10) ->
 
 
 def throttle_stream(beats: DataFrame) -> DataFrame:
-    """Notifications of a stream: per job a counter is kept; the first report and every third are emitted."""
+    """Notifications of a stream: per job a counter is kept; the first report and every third are emitted.
+
+    Reports of one micro-batch are taken in the order of the batch view, repeats among them once; reports that
+    come in a later micro-batch count when they come, so a stream read in one micro-batch gives the batch's
+    rows. A job's counter is dropped once nothing came for QUIET_MS.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        none = pd.DataFrame([], columns=["crawl_job_id", "ts", "processed", "no"]).astype({"processed": "Int64"})
+        if state.hasTimedOut:
+            state.remove()
+            yield none
+            return
         n = state.get[0] if state.exists else 0
-        out = []
-        for pdf in batches:
-            for ts, processed in pdf.sort_values("ts")[["ts", "processed"]].itertuples(index=False):
-                if n % EVERY == 0:
-                    out.append((key[0], ts, processed, n + 1))
-                n += 1
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["crawl_job_id", "ts", "processed", "no"]).astype({"processed": "Int64"})
+        # a job's reports of one trigger; the source bounds them by files per trigger
+        pdf = pd.concat([b[["ts", "processed", "phase"]] for b in batches]).drop_duplicates()
+        pdf = pdf.sort_values(["ts", "processed", "phase"], na_position="first")
+        out = [(key[0], ts, processed, n + i + 1) for i, (ts, processed) in enumerate(pdf[["ts", "processed"]].itertuples(index=False)) if (n + i) % EVERY == 0]
+        state.update((n + len(pdf),))
+        state.setTimeoutDuration(QUIET_MS)
+        yield pd.DataFrame(out, columns=none.columns).astype({"processed": "Int64"}) if out else none
 
-    return beats.groupBy("crawl_job_id").applyInPandasWithState(step, "crawl_job_id string, ts timestamp_ntz, processed long, no long", "n long", "append", "NoTimeout")
+    return beats.groupBy("crawl_job_id").applyInPandasWithState(step, "crawl_job_id string, ts timestamp_ntz, processed long, no long", "n long", "append", "ProcessingTimeTimeout")
 
 
 def activity_stream(beats: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -83,3 +94,26 @@ def activity_stream(beats: DataFrame, width: str = "1 hour") -> DataFrame:
 def ingest_stream(pages: DataFrame, handle, checkpoint: str):
     """Run ``handle(batch, batch_id)`` on every micro-batch of pages until the source is drained."""
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def completions(jobs: DataFrame, beats: DataFrame) -> DataFrame:
+    """One event per ended job: (crawl_job_id, event, processed, snippets_extracted, seconds, error_message)."""
+    last = progress(beats).select(F.col("crawl_job_id").alias("id"), F.col("processed").alias("reported"))
+    ended = jobs.where("status in ('completed', 'failed', 'cancelled')").join(last, "id", "left")
+    event = F.when((F.col("status") == "completed") & F.col("error_message").isNull(), "completed").otherwise("failed")
+    seconds = F.expr("cast(timestampdiff(SECOND, started_at, completed_at) as long)")
+    return ended.select(F.col("id").alias("crawl_job_id"), event.alias("event"), F.greatest(F.coalesce("processed_pages", F.lit(0)).cast("long"), F.coalesce("reported", F.lit(0))).alias("processed"), F.col("snippets_extracted").cast("long").alias("snippets_extracted"), seconds.alias("seconds"), "error_message")
+
+
+def for_subscribers(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(client, ...): events of the jobs that clients follow; ``subscriptions`` has (client, crawl_job_id), a null job follows all."""
+    own = subscriptions.where("crawl_job_id is not null").select("client", "crawl_job_id").distinct()
+    every = subscriptions.where("crawl_job_id is null").select("client").distinct()
+    some = events.join(own, "crawl_job_id").select("client", *events.columns)
+    # clients that follow everything get every event, by definition; they are connections of one server
+    return some.unionByName(events.crossJoin(every.join(own.select("client").distinct(), "client", "left_anti")).select("client", *events.columns))
+
+
+def active(jobs: DataFrame) -> DataFrame:
+    """(id, active): whether a job is under way."""
+    return jobs.select("id", F.coalesce(F.col("status").isin("running", "pending"), F.lit(False)).alias("active"))

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import SMALL, rows
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from snipquarry.engine import tables
@@ -17,7 +17,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "docs/d.py").write_text("no")
     (tmp_path / "node_modules/e.md").write_text("no")
     f = files.read_files(spark, str(tmp_path), root=str(tmp_path))
-    assert rows(f.select("rel", "problem")) == [("docs/a.md", None), ("docs/b.rst", "not_utf8"), ("docs/c.txt", "binary")] or {r.rel: r.problem for r in f.collect()} == {"docs/a.md": None, "docs/b.rst": "not_utf8", "docs/c.txt": "binary"}
+    assert {r.rel: r.problem for r in f.collect()} == {"docs/a.md": None, "docs/b.rst": "not_utf8", "docs/c.txt": "binary"}
     assert [(r.url, r.title, r.content_type) for r in files.as_uploads(f, "s").collect()] == [("upload://s/a.md", "Title", "markdown")]
     assert files.as_repository(f, "https://github.com/o/n").first()["url"] == "https://github.com/o/n/blob/main/docs/a.md"
     assert files.read_files(spark, str(tmp_path), max_bytes=2).where("problem = 'too_large'").count() == 3
@@ -37,12 +37,11 @@ def test_web(spark, tmp_path):
 
 def test_stream_agrees_with_batch(spark, tmp_path):
     b = tables(spark, SMALL).heartbeats
-    clean = b.select("crawl_job_id", "ts", "received_at", "phase", "processed").dropDuplicates(["crawl_job_id", "ts", "phase", "processed"])
+    clean = b.select("crawl_job_id", "ts", "received_at", "phase", "processed")  # with its repeats
     clean.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = progress.throttle_stream(progress.read_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("thr").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    want = {r[0]: r[1] for r in progress.notifications(b).groupBy("crawl_job_id").count().collect()}
-    assert {r[0]: r[1] for r in spark.table("thr").groupBy("crawl_job_id").count().collect()} == want
+    assert sorted(repr(tuple(r)) for r in spark.table("thr").collect()) == sorted(repr(tuple(r)) for r in progress.notifications(b).collect()) and spark.table("thr").count() > 9
     seen = []
     q = progress.ingest_stream(progress.read_stream(spark, str(tmp_path / "in")), lambda df, i: seen.append(df.count()), str(tmp_path / "c2"))
     q.awaitTermination(120)

@@ -54,12 +54,17 @@ def holds(name, df, duck):
     if name == "search_pages_by_stem":
         return 0 < len(got) <= 10 and {r[0] for r in got} <= stemmed(duck)
     if name == "chunk_paragraphs":
-        # the chunks of a page hold its characters in order, blanks aside
+        # the chunks of a page are runs of its paragraphs; each begins at the end of those before it, or repeats some of them
         text = {}
         for i, no, n, chunk in sorted(got):
             assert no < n
-            text.setdefault(i, []).append(chunk)
-        return all("".join("".join(text[i]).split()) == "".join(t.split()) for i, t in pages(duck, "markdown_content") if t and t.strip())
+            text.setdefault(i, []).append(chunk.split("\n\n"))
+        for i, t in pages(duck, "markdown_content"):
+            whole, at = (t or "").split("\n\n"), 0
+            for c in text.get(i, []):
+                at = next(k + len(c) for k in range(at, -1, -1) if whole[k : k + len(c)] == c and k + len(c) > at)
+            assert not t or at == len(whole)
+        return True
     if name == "site_names":
         named = {i: json.loads(m).get("og:site_name") for i, m in pages(duck, "meta_data") if m and m.startswith("{") and m.endswith("}")}
         return len(got) == len(pages(duck, "title")) and all(s == named[i].strip() for i, s in got if named.get(i) and named[i].strip())

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SKETCH_BITS, count_sketch
 
-#: The largest sketch: 2**22 counters are 16 MiB.
-MOST_BITS = 22
+#: The largest sketch: 2**20 counters are 4 MiB.
+MOST_BITS = 20
 #: Thresholds are held as tenths, so that comparisons stay in whole numbers.
 SIMILARITY_TENTHS = 7
 
@@ -60,7 +60,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, carry: list[str], tenths:
     there give postings once, so that copies of one text are pre-aggregated before any shuffle.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)  # at most 16 MiB, see MOST_BITS
+    shared = spark.sparkContext.broadcast(sketch)  # at most 4 MiB, see MOST_BITS
     shift = np.uint32(32 - (len(sketch).bit_length() - 1))
     schema = pa.schema([("h", pa.int32()), ("most", pa.int64()), *((c, pa.int64()) for c in carry)])
 

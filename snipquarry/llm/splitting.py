@@ -126,10 +126,28 @@ def split(text: str, limit: int, overlap: int, kind: str = "document") -> list[t
         if ok:
             return pieces
         count += 1
-        if count > 4 * (n_chars // (limit - overlap) + 2):  # boundaries can't be met: equal cuts always fit
-            step = limit - overlap
-            starts = list(range(0, n_chars, step))
-            return [(max(0, a - overlap), a, min(n_chars, a + step)) for a in starts]
+        if count > 4 * (n_chars // (limit - overlap) + 2):  # no balanced cut fits: cut as late as the limit allows
+            return _late(text, limit, overlap)
+
+
+def _late(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Pieces cut one after the other at the last word gap in the second half of what fits, else between whole characters."""
+    pieces, at = [], 0
+    while at < len(text):
+        begin = max(0, at - overlap)
+        while begin and begin < at and _joined(text, begin):
+            begin += 1
+        end = min(len(text), begin + limit)
+        if end < len(text):
+            gaps = [m.end() for m in _WORD_GAP.finditer(text, at + (end - at) // 2, end + 1) if m.end() <= end]
+            cut = gaps[-1] if gaps else end
+            while cut > at + 1 and _joined(text, cut):
+                cut -= 1
+            # more joined characters than a piece holds can't be kept together
+            end = cut if cut > at + 1 or end == at + 1 else end
+        pieces.append((begin, at, end))
+        at = end
+    return pieces
 
 
 def split_items(df: DataFrame, kind: str, id_col: str, text: str, limit: int | None = None, overlap: int | None = None) -> DataFrame:

@@ -41,3 +41,14 @@ def test_table(spark):
     got = split_items(d, "document", "doc_id", "markdown_content")
     assert rows(got.select("item_id", "piece_no", "n_pieces")) == [(2, 0, 2)] * 2 + [(2, 1, 2)] * 2
     assert split_items(d.limit(0), "document", "doc_id", "markdown_content").count() == 0
+
+
+def test_late_cuts_keep_words_and_characters():
+    from snipquarry.llm.splitting import _late
+
+    for text in ("word " * 500, "e\u0301" * 900, "\u0301" * 700, "x" * 1000, "ab\r\n" * 300):
+        got = _late(text, 100, 20)
+        assert "".join(text[a:e] for _, a, e in got) == text
+        assert all(e - b <= 100 and 0 <= a - b <= 20 and e > a for b, a, e in got)
+    assert all(text[a - 1] == " " for text in ["word " * 500] for _, a, _ in _late(text, 100, 20)[1:])
+    assert all(text[a] != "\u0301" for text in ["e\u0301" * 900] for _, a, _ in _late(text, 100, 20)[1:])

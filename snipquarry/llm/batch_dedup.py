@@ -295,7 +295,7 @@ class History:
         self._append("posts", heads)
         full = materialize(heads.where("m > 1 and w is null").select("h").distinct(), "crowded")
         self._append("crowded", full)
-        crowd = marks.join(full, "h", "left_semi").select("key").unionByName(texts.where("repeats").select("key")).distinct()
+        crowd = keep_keys(marks.select("key", "h"), full, "h").join(full, "h", "left_semi").select("key").unionByName(texts.where("repeats").select("key")).distinct()
         self._append("prefixes", self._prefixes(texts.join(crowd, "key", "left_semi")))
         if not check:
             return None

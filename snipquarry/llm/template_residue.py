@@ -104,8 +104,8 @@ _LABEL = re.compile(r"\W{0,4}\w[\w ]{0,40}:")
 _NAMED = re.compile(r"(?<![\w\]`])([%\[\]{}<>@#$~|^:!?=+(*]{1,3})[A-Za-z][\w.-]{0,40}([%\[\]{}<>@#$~|^:!?=+)*]{1,3})(?![\w(`])")
 _HOLLOW = re.compile(r"(?<=\w) (?=[,.](?:\s|$))")
 _PAIRED = {"[": "]", "{": "}", "<": ">", "(": ")"}
-#: An ordinary value of a slot, as sibling lines have it.
-_VALUE = r"(?U)^\w[\w .,'’&/+-]{0,80}$"
+#: An ordinary value of a slot, of any length, as sibling lines have it.
+_VALUE = r"(?U)^\w[\w .,'’&/+-]*$"
 #: Values that aligned lines must have for a slot to be induced.
 VALUES = 2
 
@@ -270,15 +270,15 @@ def unfilled(df: DataFrame, open_slots: DataFrame, text: str = "markdown_content
     """(doc_id) of the rows of (doc_id, key, before, after) whose slot aligned lines of other pages fill with different values."""
     templates = open_slots.select("key", "before", "after").distinct()
     lines = df.where(F.length(F.col(text)) > 0).select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-    lines = lines.select(F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), r"(?U)\s+", " ")), "[0-9]+", "0").alias("line")).where(F.length("line") < 2000)
-    words = F.regexp_extract_all("line", F.lit(r"(?U)(\w+)"))
+    lines = lines.select(F.regexp_replace(F.trim(F.regexp_replace(F.lower("line"), r"(?U)\s+", " ")), "[0-9]+", "0").alias("line"))
+    # only the ends of a line are looked at, as a line may be of any length
+    two = lambda s: F.regexp_replace(F.regexp_extract(s, r"(?U)^\W*+(\w++\W++\w++)", 1), r"(?U)\W+", " ")
     keys = F.array(
         F.concat(F.lit("c:"), F.regexp_extract("line", r"(?U)^\W{0,4}(\w[\w ]{0,40}:)", 1)),
-        F.concat(F.lit("f:"), F.array_join(F.slice(words, 1, 2), " ")),
-        F.concat(F.lit("l:"), F.array_join(F.slice(F.reverse(words), 1, 2), " ")),
+        F.concat(F.lit("f:"), two(F.col("line"))),
+        F.concat(F.lit("l:"), F.reverse(two(F.reverse("line")))),
     )
-    turned = F.transform(keys, lambda k: F.when(k.startswith("l:"), F.concat(F.lit("l:"), F.array_join(F.reverse(F.split(F.substring(k, 3, 1 << 20), " ")), " "))).otherwise(k))
-    at = lines.select("line", F.explode(turned).alias("key")).join(small_side(templates, 50_000), "key")
+    at = lines.select("line", F.explode(keys).alias("key")).join(small_side(templates, 50_000), "key")
     value = F.trim(F.expr("substring(line, length(before) + 1, length(line) - length(before) - length(after))"))
     fits = at.where("startswith(line, before) and endswith(line, after) and length(line) > length(before) + length(after)").withColumn("value", value).where(F.col("value").rlike(_VALUE))
     filled = fits.groupBy("before", "after").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= VALUES)

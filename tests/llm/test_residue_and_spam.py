@@ -117,6 +117,19 @@ def test_induced_slots(spark):
     assert residue_pages(d.where("doc_id in (3, 4)")).count() == 0
 
 
+def test_slots_in_lines_and_values_of_any_length(spark):
+    long = " ".join(f"{PROSE.strip()} Part w{chr(97 + i % 26)}{chr(97 + i // 26)} ends here." for i in range(60))
+    names = ("Ann Lee", "Bo Kim", "%name%")
+    pages = [(i, f"# T{i}\n\n{long} Ask {v} for more.\n\nThe end of page w{i}.") for i, v in enumerate(names, 1)]
+    pages += [(10 + i, f"# T{i}\n\nDear {v}, {long}\n\nThe end of page w{i}.") for i, v in enumerate(names, 1)]
+    # 20: a blank whose siblings hold more than 81 characters
+    values = (PROSE.strip(" .").replace(". ", ", "), "It writes old pages to disk, and the reader asks for them again when the limit of the memory is reached", "")
+    pages += [(20 + i, f"# T{i}\n\nSummary of it: {v}\n\n## About\n\n{PROSE}") for i, v in enumerate(values, 1)]
+    d = spark.createDataFrame(pages, "doc_id long, markdown_content string").selectExpr("*", "'j' as crawl_job_id", "null as upload_job_id")
+    assert len(long) > 8000 and min(map(len, values[:2])) > 81
+    assert sorted(tuple(r) for r in residue_pages(d).collect()) == [(i, "residue") for i in (3, 13, 23)]
+
+
 def test_whole_page_templates(spark):
     stub = lambda i, n: (i, f"# Field {n}\n\nReturns the value of {n} in the table.")
     gone = lambda i, t: (i, f"# {t}\n\nWe retired /how-to/part-{i} some time ago.\n\nRequest id: {i}abc12f0")

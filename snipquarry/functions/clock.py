@@ -13,8 +13,8 @@ def at(now: str) -> Column:
 
 
 def seconds_since(ts: Column, now: Column) -> Column:
-    """Whole seconds from ``ts`` to ``now``."""
-    return F.timestamp_diff("SECOND", ts, now)
+    """Whole seconds from ``ts`` to ``now``, rounded down, so a moment after ``now`` is at least a second off."""
+    return F.floor(F.timestamp_diff("MICROSECOND", ts, now) / 1_000_000)
 
 
 def relative_label(ts: Column, now: Column) -> Column:
@@ -36,9 +36,12 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) <= 0, 0).otherwise(F.least(F.lit(100), F.bround(F.coalesce(done, F.lit(0)) * 100.0 / total, 0).cast("int")))
 
 
+def health_at(age: Column) -> Column:
+    return F.when(age > STALLED_S, "stalled").when(age > WARNING_S, "warning").otherwise("healthy")
+
+
 def health(heartbeat: Column, now: Column) -> Column:
-    age = seconds_since(heartbeat, now)
-    return F.when(heartbeat.isNull(), "unknown").when(age > STALLED_S, "stalled").when(age > WARNING_S, "warning").otherwise("healthy")
+    return F.when(heartbeat.isNull(), "unknown").otherwise(health_at(seconds_since(heartbeat, now)))
 
 
 def pages(total: Column, limit: int) -> Column:

@@ -29,9 +29,10 @@ def progress(beats: DataFrame) -> DataFrame:
 
 
 def job_health(beats: DataFrame, now: str) -> DataFrame:
+    """Per job: seconds since its last report, and its health by them; a job whose reports have no time is taken as healthy."""
     last = beats.groupBy("crawl_job_id").agg(F.max("ts").alias("last_ts"))
-    n = clock.at(now)
-    return last.select("crawl_job_id", clock.seconds_since(F.col("last_ts"), n).alias("age_s"), clock.health(F.col("last_ts"), n).alias("health"))
+    age = clock.seconds_since(F.col("last_ts"), clock.at(now))
+    return last.select("crawl_job_id", age.alias("age_s"), clock.health_at(age).alias("health"))
 
 
 def stalled(jobs: DataFrame, beats: DataFrame, now: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import datetime as dt
 
-from conftest import SMALL
+from conftest import SMALL, agree
 from pyspark.sql import functions as F
 
 from snipquarry.engine import tables
+from snipquarry.plans.queries import LIVE
+from snipquarry.plans.registry import ORACLE
 from snipquarry.sources import files, web
 from snipquarry.streaming import progress
 
@@ -63,3 +65,18 @@ def test_stalled(spark):
     j = spark.createDataFrame([("a", "running"), ("b", "running"), ("c", "running"), ("d", "completed")], "id string, status string")
     got = dict(tuple(r) for r in progress.stalled(j, b, "2025-01-01 00:01:01").collect())
     assert got == {"a": "Job stalled in phase crawling", "c": "Job stalled in phase unknown"}
+
+
+def test_job_health_agrees_with_sql_around_now(spark, tmp_path):
+    import duckdb
+
+    now = dt.datetime.fromisoformat(LIVE)
+    ages = {"ahead": -0.25, "just": 0.25, "hours ahead": -7730.338211, "whole ahead": -60.0, "30": 30.999999, "31": 31.0, "60": 60.999999, "61": 61.0, "old": 9e9}
+    beats = [(k, now - dt.timedelta(seconds=v), now, "crawling", 1) for k, v in ages.items()] + [("none", None, now, None, None), (None, now, now, None, None), ("mixed", None, now, None, None), ("mixed", now, now, None, None)]
+    b = spark.createDataFrame(beats, progress.HEARTBEATS)
+    b.coalesce(1).write.parquet(str(tmp_path / "b"))
+    c = duckdb.connect()
+    c.sql(f"create view crawl_heartbeats as select * from '{tmp_path}/b/*.parquet'")
+    agree(progress.job_health(b, LIVE), c, ORACLE["job_health"])
+    got = {r.crawl_job_id: (r.age_s, r.health) for r in progress.job_health(b, LIVE).collect()}
+    assert got["ahead"] == (-1, "healthy") and got["hours ahead"] == (-7731, "healthy") and got["none"] == (None, "healthy") and got["61"] == (61, "stalled")
